@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from typeloom.llm import packing, token_store
+from typeloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_rules, sharding, token_store
 
 
 def queries() -> dict:
     return {
+        "op2_quality_cascade": quality_rules.op2_quality_cascade,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_bagminhash": near_dedup.op4_bagminhash,
+        "op6_bounded_ring": sharding.op6_bounded_ring,
         "op7_token_store": token_store.op7_token_store,
+        "op8_fm_index_decontamination": decontaminate.op8_fm_index_decontamination,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op2_quality_cascade": quality_rules.oracle(),
+        "op8_fm_index_decontamination": decontaminate.oracle(),
+    }
