@@ -106,8 +106,11 @@ def phrase_blocks(benchmark: DataFrame, width: int, block_chars: int = BLOCK_CHA
     return out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items (sorted ids) and spans (merged; UTF-8 byte offsets)."""
+def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int = BLOCK_CHARS, cut: bool = False) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items (sorted ids) and spans (merged; UTF-8 byte offsets).
+
+    With ``cut`` the spans are removed from ``text``.
+    """
     blocks = phrase_blocks(benchmark, width, block_chars)
     added = T._parse_datatype_string(ADDED)
     kept = [f for f in docs.schema if f.name not in added.names]
@@ -152,7 +155,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(a, woffs).astype(np.int32)), spans).cast(pairs),
                 ]
                 rest = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(rest.column(n) for n in names), *columns], [*names, *added.names])
+                own_columns = {n: rest.column(n) for n in names}
+                if cut and len(a):
+                    texts = zip(own_columns["text"].to_pylist(), columns[-1].to_pylist())
+                    own_columns["text"] = pa.array([remove_spans(t, s) for t, s in texts], own_columns["text"].type)
+                yield pa.RecordBatch.from_arrays([*own_columns.values(), *columns], [*names, *added.names])
 
     return docs.mapInArrow(task, schema)
 

@@ -56,7 +56,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 #: Rejecting conditions; every one holds for a text with 50 words or more.
 RULES: dict[str, Callable[[], Column]] = {
     "symbols": lambda: 10 * F.col("n_symbols") > 3 * F.col("n_words"),
-    "duplicate_lines": lambda: 10 * F.col("n_dup_lines") > 3 * F.regexp_count(F.col("text"), F.lit("\n")) + 3,
+    "duplicate_lines": lambda: (F.col("n_dup_lines") >= 4) & (10 * F.col("n_dup_lines") > 3 * F.regexp_count(F.col("text"), F.lit("\n")) + 3),
     "word_length": lambda: ~((F.col("word_chars") >= 2 * F.col("n_words")) & (F.col("word_chars") <= 20 * F.col("n_words"))),
     "exclamations": lambda: 10 * F.regexp_count(F.col("text"), F.lit("!")) > 3 * F.col("n_words"),
     "capitals": lambda: 2 * F.regexp_count(F.col("text"), F.lit("[A-Z]")) > F.col("word_chars"),
@@ -121,7 +121,7 @@ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed
     or 10 * n_symbols > 3 * n_words
-    or 10 * n_dup_lines > 3 * len(regexp_extract_all(text, chr(10))) + 3
+    or n_dup_lines >= 4 and 10 * n_dup_lines > 3 * len(regexp_extract_all(text, chr(10))) + 3
     or not (word_chars >= 2 * n_words and word_chars <= 20 * n_words)
     or 10 * len(regexp_extract_all(text, '!')) > 3 * n_words
     or 2 * len(regexp_extract_all(text, '[A-Z]')) > word_chars
