@@ -9,6 +9,7 @@ library's model; every other chunk goes through the library's whole ``encode``.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -31,41 +32,54 @@ def _byte_chars() -> list[str]:
 
 
 class Pieces(dict):
-    """Chunk (bytes) -> its ids as little-endian bytes; emptied when it holds ``most`` entries."""
+    """Chunk (bytes) -> its ids as little-endian bytes.
 
-    def __init__(self, path: str | None = None, most: int = 250_000):
+    Of two generations with ``most`` entries at most, the older is dropped when the younger is full.
+    """
+
+    def __init__(self, path: str | None = None, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.whole = Tokenizer.from_file(path or vocabulary_path())
-        self.model, self.most = self.whole.model, most
+        self.model, self.most, self.old = self.whole.model, most, {}
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.char, self.words = _byte_chars(), {}
+        self.code, self.char = "H" if self.kind.itemsize == 2 else "I", _byte_chars()
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def word(self, piece: str) -> bytes:
-        found = self.words.get(piece)
-        if found is None:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            mapped = piece if piece.isascii() else "".join(self.char[b] for b in piece.encode())
-            found = self.words[piece] = self.pack([t.id for t in self.model.tokenize(mapped)])
-        return found
+        mapped = piece if piece.isascii() else "".join(self.char[b] for b in piece.encode())
+        return self.pack([t.id for t in self.model.tokenize(mapped)])
+
+    def fresh(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # letters in ASCII, lower-cased or not: one pre-token
+            low = chunk.lower()
+            return self.word(low.decode()) if low == chunk else self[low]
+        if chunk[-1:] in b",.!" and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        text = chunk.decode("utf-8", "replace")
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
+        pieces = _PIECES.findall(text.lower())
+        if len(pieces) == 1 and pieces[0] == text:
+            return self.word(text)
+        return b"".join([self[piece.encode()] for piece in pieces])
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join(map(self.word, _PIECES.findall(text.lower())))
-        else:
-            ids = self.pack(self.whole.encode(text, add_special_tokens=False).ids)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.fresh(chunk)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
     def encode(self, text: bytes) -> bytes:
+        if b"<|" not in text:  # lower-casing might make a special token of what isn't one
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
     def wide(self, ids: bytes) -> bytes:
