@@ -11,11 +11,11 @@
 3. ``BANDS`` bands of ``ROWS`` places give buckets. In each bucket members are verified against one
    leader, never against each other; components of the verified links follow. Only members in
    different components of their bucket are still open. The next leader is the open bucket's member of
-   most links, and a member meets one leader a round; after ``STARS`` rounds the open pairs that are
-   left are listed whole (outsiders of each bucket's greatest component against the bucket) and verified.
-   Pairs whose signatures agree in under ``LEAST`` of the places (over four standard deviations below
-   the threshold) aren't verified. So no link that the bands find is lost, and a bucket costs its
-   members, not their pairs.
+   most links, and a member meets ``LEADERS`` of them a round. After ``STARS`` rounds what is open is
+   searched whole, in blocks: outsiders of each bucket's greatest component against the bucket's
+   members, block by block of ``BLOCK`` signatures. Pairs whose signatures agree in under ``LEAST`` of
+   the places (four standard deviations below the threshold) aren't verified. So no link that the
+   bands find is lost, and pairs are listed only where signatures are close and components differ.
 4. Verification is exact: sum of minima over sum of maxima of the shingle counts, 0.8 or more.
 
 With 16 bands of 5 a pair of similarity 0.8 meets in a bucket with probability 0.998.
@@ -31,7 +31,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typeloom.llm import _text
@@ -39,8 +40,9 @@ from typeloom.operators.components import connected_components
 from typeloom.plans.shared import drop_written, written
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 5
-STARS, LEAST = 4, 0.62
+#: Places of a signature; the first BANDS * ROWS make bands, all of them estimate similarity.
+BANDS, ROWS, PLACES = 16, 5, 128
+STARS, LEADERS, LEAST, BLOCK = 4, 3, 0.66, 1024
 SLICE_BYTES = 1 << 20
 
 
@@ -95,15 +97,14 @@ def bags(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _signed(batches):
     """(digest, o, bands, sketch) of (digest, o, text)."""
-    m = BANDS * ROWS
     for batch in batches:
         data, offs = _text.utf8(batch.column("text"))
         for i, j in _text.slices(offs, SLICE_BYTES):
             own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             s, count, doc, woffs = bags(own, at)
-            sig = bag_min_hash(s, count, doc, j - i, m)
+            sig = bag_min_hash(s, count, doc, j - i, PLACES)
             bits = _text.mix(sig.view(np.uint64))
-            rows = bits.reshape(j - i, BANDS, ROWS)
+            rows = bits[:, : BANDS * ROWS].reshape(j - i, BANDS, ROWS)
             band = np.zeros((j - i, BANDS), np.uint64)
             for r in range(ROWS):
                 band = _text.mix(band ^ rows[:, :, r])
@@ -142,13 +143,41 @@ def _similar(batches):
 
 def _agreeing(batches):
     """Pairs (a, b) whose sketches agree in ``LEAST`` of the places or more."""
-    m = BANDS * ROWS
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in ("sketch_a", "sketch_b"))
-        ok = pa.array((x == y).sum(axis=1) >= LEAST * m)
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sketch_a", "sketch_b"))
+        ok = pa.array((x == y).sum(axis=1) >= LEAST * PLACES)
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
 
+def _close_blocks(batches):
+    """Pairs (a, b) of two blocks' members that lie in different components and whose signatures are close."""
+
+    def opened(col):
+        flat = col.flatten()
+        digest, component, sketch = (flat.field(k).to_pylist() for k in range(3))
+        return (
+            np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False))]),
+            digest,
+            np.frombuffer(b"".join(component), "V16"),
+            np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, PLACES),
+        )
+
+    for batch in batches:
+        xo, xd, xc, xs = opened(batch.column("outside"))
+        yo, yd, yc, ys = opened(batch.column("inside"))
+        a, b = [], []
+        for k in range(batch.num_rows):
+            y = slice(int(yo[k]), int(yo[k + 1]))
+            for i in range(int(xo[k]), int(xo[k + 1]), 32):
+                x = slice(i, min(i + 32, int(xo[k + 1])))
+                ok = (xs[x, None, :] == ys[None, y, :]).sum(axis=2) >= LEAST * PLACES
+                for p, q in zip(*np.nonzero(ok)):
+                    if xc[i + p] != yc[y.start + q]:
+                        a.append(xd[i + p])
+                        b.append(yd[y.start + q])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
 NO_ID = (1 << 63) - 1
 
 
@@ -218,14 +247,20 @@ class _Graph:
             left = self.labelled()
             lead = left.groupBy("key").agg(F.max(F.struct("degree", "digest", "component")).alias("lead"))
             pairs = left.join(lead, "key").where("component <> lead.component")
-            pairs = pairs.groupBy("digest").agg(F.max(F.struct("lead.degree", "lead.digest")).alias("lead")).select(F.col("digest").alias("a"), F.col("lead.digest").alias("b"))
+            met = pairs.select("digest", "lead.degree", F.col("lead.digest").alias("b")).distinct()
+            rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("degree"), "b"))
+            pairs = met.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("digest").alias("a"), "b")
             if not self.verify(self.fresh(pairs)):
                 break
         left = self.labelled()
         sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        great = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("great"))
-        outside = left.join(great, "key").where("component <> great.component").select("key", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("great.component").alias("cg"))
-        rest = outside.join(left.select("key", F.col("digest").alias("b"), F.col("component").alias("cb")), "key").where("ca <> cb and (cb = cg or a < b)")
+        great = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("great"), F.sum("n").alias("n"))
+        member = F.struct("digest", "component", "sketch")
+        near = left.join(great, "key").join(self.nodes.select("digest", "sketch"), "digest")
+        near = near.withColumn("block", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / BLOCK)))
+        inside = near.groupBy("key", "block").agg(F.collect_list(member).alias("inside")).drop("block")
+        outside = near.where("component <> great.component").groupBy("key", "block").agg(F.collect_list(member).alias("outside")).drop("block")
+        rest = outside.join(inside, "key").select("outside", "inside").mapInArrow(_close_blocks, "a binary, b binary")
         if self.verify(self.fresh(rest.select("a", "b"))):
             self.parts = connected_components(self.links)
         return self.parts
