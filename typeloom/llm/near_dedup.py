@@ -13,9 +13,10 @@
    different components of their bucket are still open. The next leader is the open bucket's member of
    most links, and a member meets ``LEADERS`` of them a round. After ``STARS`` rounds what is open is
    searched whole, in blocks: outsiders of each bucket's greatest component against the bucket's
-   members, block by block of ``BLOCK`` signatures. Pairs whose signatures agree in under ``LEAST`` of
-   the places (four standard deviations below the threshold) aren't verified. So no link that the
-   bands find is lost, and pairs are listed only where signatures are close and components differ.
+   members, block by block of about ``BLOCK_BYTES`` of text. A block pair is verified within its task,
+   which gives one link for each outsider and component, never all pairs. Leader pairs whose signatures
+   agree in under ``LEAST`` of the places (four standard deviations below the threshold) aren't
+   verified. So no link that the bands find is lost.
 4. Verification is exact: sum of minima over sum of maxima of the shingle counts, 0.8 or more.
 
 With 16 bands of 5 a pair of similarity 0.8 meets in a bucket with probability 0.998.
@@ -29,9 +30,10 @@ any other; a class without any ``doc_id`` has a null ``class_id``. Empty tables
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ from typeloom.plans.shared import drop_written, written
 WORDS, SIMILARITY = 5, 0.8
 #: Places of a signature; the first BANDS * ROWS make bands, all of them estimate similarity.
 BANDS, ROWS, PLACES = 16, 5, 128
-STARS, LEADERS, LEAST, BLOCK = 4, 3, 0.66, 1024
+STARS, LEADERS, LEAST, BLOCK_BYTES = 3, 3, 0.66, 512 << 10
 SLICE_BYTES = 1 << 20
 
 
@@ -149,36 +151,53 @@ def _agreeing(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
 
-def _close_blocks(batches):
-    """Pairs (a, b) of two blocks' members that lie in different components and whose signatures are close."""
+def _linked_blocks(similarity: float):
+    """Links (a, b) between two blocks' members of different components: one for each outsider and component it links to."""
+
+    def opened(batch, col):
+        flat = batch.column(col).flatten()
+        component = np.frombuffer(b"".join(flat.field(1).to_pylist()), "V16")
+        return flat.field(0).to_pylist(), component, bags(*_text.utf8(flat.field(2)))[:3]
+
+    def task(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                xd, xc, (xs, xn, xdoc) = opened(one, "outside")
+                yd, yc, (ys, yn, ydoc) = opened(one, "inside")
+                order = np.argsort(ys, kind="stable")
+                ys, yn, ydoc = ys[order], yn[order], ydoc[order]
+                size = np.bincount(ydoc, yn, len(yd))
+                xo = np.searchsorted(xdoc, np.arange(len(xd) + 1))
+                a, b = [], []
+                for i in range(len(xd)):
+                    s, n = xs[xo[i] : xo[i + 1]], xn[xo[i] : xo[i + 1]]
+                    lo, hi = np.searchsorted(ys, s), np.searchsorted(ys, s, "right")
+                    found = hi - lo
+                    at = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found - lo, found)
+                    both = np.bincount(ydoc[at], np.minimum(yn[at], np.repeat(n, found)), len(yd))
+                    near = np.flatnonzero((both / np.maximum(size + n.sum() - both, 1) >= similarity) & (yc != xc[i]))
+                    for j in near[np.unique(yc[near].view("S16"), return_index=True)[1]]:
+                        a.append(xd[i])
+                        b.append(yd[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return task
 
-    def opened(col):
-        flat = col.flatten()
-        digest, component, sketch = (flat.field(k).to_pylist() for k in range(3))
-        return (
-            np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False))]),
-            digest,
-            np.frombuffer(b"".join(component), "V16"),
-            np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, PLACES),
-        )
 
-    for batch in batches:
-        xo, xd, xc, xs = opened(batch.column("outside"))
-        yo, yd, yc, ys = opened(batch.column("inside"))
-        a, b = [], []
-        for k in range(batch.num_rows):
-            y = slice(int(yo[k]), int(yo[k + 1]))
-            for i in range(int(xo[k]), int(xo[k + 1]), 32):
-                x = slice(i, min(i + 32, int(xo[k + 1])))
-                ok = (xs[x, None, :] == ys[None, y, :]).sum(axis=2) >= LEAST * PLACES
-                for p, q in zip(*np.nonzero(ok)):
-                    if xc[i + p] != yc[y.start + q]:
-                        a.append(xd[i + p])
-                        b.append(yd[y.start + q])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+NO_ID = (1 << 63) - 1
 
 
-NO_ID = (1 << 63) - 1
+@contextlib.contextmanager
+def _few_rows_a_batch(spark: SparkSession, rows: int = 2):
+    """Rows that hold whole blocks come to Python a few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _identity(docs: DataFrame) -> DataFrame:
@@ -254,14 +273,18 @@ class _Graph:
                 break
         left = self.labelled()
         sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        great = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("great"), F.sum("n").alias("n"))
-        member = F.struct("digest", "component", "sketch")
-        near = left.join(great, "key").join(self.nodes.select("digest", "sketch"), "digest")
-        near = near.withColumn("block", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / BLOCK)))
+        great = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("great"))
+        near = left.join(self.texts, "digest")
+        chars = near.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"))
+        near = near.join(great.join(chars, "key"), "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+        member = F.struct("digest", "component", "text")
         inside = near.groupBy("key", "block").agg(F.collect_list(member).alias("inside")).drop("block")
         outside = near.where("component <> great.component").groupBy("key", "block").agg(F.collect_list(member).alias("outside")).drop("block")
-        rest = outside.join(inside, "key").select("outside", "inside").mapInArrow(_close_blocks, "a binary, b binary")
-        if self.verify(self.fresh(rest.select("a", "b"))):
+        rest = outside.join(inside, "key").select("outside", "inside").mapInArrow(_linked_blocks(self.similarity), "a binary, b binary")
+        with _few_rows_a_batch(left.sparkSession):
+            found = written(_ordered(rest).distinct(), "block-links")
+        if not found.isEmpty():
+            self.links = self.links.unionByName(found)
             self.parts = connected_components(self.links)
         return self.parts
 
