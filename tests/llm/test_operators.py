@@ -103,7 +103,7 @@ def test_quality(spark, edges, duck):
 
 
 def test_cascade_order_follows_rejections_per_cost(spark, edges):
-    order = quality_rules.cascade_order(quality_rules.base_counts(edges))
+    order = quality_rules.cascade_order(edges)
     assert {n for n, *_ in order} == set(quality_rules.RULES)
     assert [s / c for _, s, c in order] == sorted((s / c for _, s, c in order), reverse=True)
 

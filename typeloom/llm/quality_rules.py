@@ -65,14 +65,17 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def cascade_order(counted: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sample: int = SAMPLE) -> list[tuple[str, float, float]]:
+def cascade_order(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sample: int = SAMPLE) -> list[tuple[str, float, float]]:
     """(rule, share it rejects, seconds) by falling rejections per second on the sample.
 
-    The sample is of rows that pass the base, drawn over the whole table; ``sample`` bounds it.
+    The sample of ``docs`` is drawn over the whole table and bounded by ``sample``; of it, the rows
+    that pass the base count. Its base counts are written first: a filter on them would be pushed below
+    their projections and compute them again for each mention.
     """
-    passing = counted.where("not base_failed")
-    total = counted.count()
-    part = written(passing.sample(min(1.0, sample / max(total, 1)), 11) if total > sample else passing, "quality-sample")
+    total = docs.count()
+    drawn = docs.sample(min(1.0, sample / max(total, 1)), 11) if total > sample else docs
+    counts = written(base_counts(drawn.select("text")), "quality-sample")
+    part = counts.where("not base_failed")
     run = lambda *c: part.agg(F.count("*").alias("n"), *c).first()
     run()
     began = time.perf_counter()
@@ -83,7 +86,7 @@ def cascade_order(counted: DataFrame, rules: dict[str, Callable[[], Column]] = R
         began = time.perf_counter()
         hit = run(F.count_if(rule()).alias("k")).k
         out.append((name, hit / max(n, 1), max(time.perf_counter() - began - idle, 1e-3)))
-    drop_written(part)
+    drop_written(counts)
     return sorted(out, key=lambda x: (-x[1] / x[2], x[2], x[0]))
 
 
@@ -91,7 +94,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES) -> Da
     """``docs`` with base counts, base_failed, rejected_by and kept."""
     counted = base_counts(docs)
     first = F.when(F.col("base_failed"), F.lit("base"))
-    for name, _, _ in cascade_order(counted, rules):
+    for name, _, _ in cascade_order(docs, rules):
         first = first.when(rules[name](), F.lit(name))
     return counted.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
 
