@@ -130,6 +130,12 @@ def weak_components(links, files):
     return inside.join(parts.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
+@_query(None, *_LF)
+def weak_components_all(links, files):
+    """Every file over every resolved link; ``weak_components`` is the part of it that recursive SQL follows."""
+    return G.weak_components(links, files)
+
+
 @_query(None, *_LF)
 def graph_shape(links, files):
     return G.graph_shape(links, files)
