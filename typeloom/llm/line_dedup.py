@@ -9,8 +9,9 @@ template is a key: its first and last document are a partial aggregate, and no l
 collected, however many lines or documents share it.
 
 A template whose first and last ``doc_id`` differ recurs. Its lines are dropped from every document
-but the first, so that one document still has the line. Lines under ``SHORTEST`` tokens are left
-alone: such lines coincide by chance. Keys have 96 bits.
+but the first, so that one document still has the line. Lines under ``SHORTEST`` tokens coincide by
+chance: their key is their exact tokens, digits too, and recurs if more than ``SHORT_DOCS`` documents
+share it. Keys have 96 bits.
 
 Null and empty texts stay as they are, with no lines dropped. Rows with equal ``doc_id`` (null is one
 such value) are one document: what only they share doesn't recur. An empty table gives no rows.
@@ -28,27 +29,28 @@ from typeloom.llm import _text
 from typeloom.plans.shared import written
 
 LEADING, FIELDS, SHORTEST, GENERAL = 2, 3, 4, 8
+SHORT_DOCS = 10
 SLICE_BYTES = 2 << 20
 _K = [int(x) for x in np.random.default_rng(20).integers(1 << 62, 1 << 63, 8)]
 
 
-def template_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all templates of all lines: two hashes, the document's number and the line's number in it."""
+def template_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all templates of all lines: two hashes, the document's number, the line's number in it, and whether it is short."""
     U = np.uint64
     starts, ends, woffs = _text.spans(data, offs, _text.NOT_SPACE)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none.astype(U), none.astype(U), none, none
+        return none.astype(U), none.astype(U), none, none, none.astype(bool)
     h = _text.hashes(data, starts, ends, lower=False)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    h = np.where(digits[ends] > digits[starts], U(_K[0]), h)
     doc = _text.owner(woffs)
     line = breaks[starts] + doc
     head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     n = np.diff(np.concatenate([head, [len(h)]]))
     place = (np.arange(len(h)) - np.repeat(head, n)).astype(U)
-    ok = n >= SHORTEST
+    short = n < SHORTEST
+    h = np.where((digits[ends] > digits[starts]) & ~np.repeat(short, n), U(_K[0]), h)
     general = n >= GENERAL
     keys = []
     for salt in (_K[1], _K[2]):
@@ -56,7 +58,7 @@ def template_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         np.cumsum(_text.mix(h + place * U(_K[3]) + U(salt)), dtype=U, out=total[1:])
         whole = total[head + n] - total[head]
         depth = n.astype(U) * U(_K[4])
-        own = [_text.mix(whole + depth)[ok]]
+        own = [_text.mix(whole + depth)]
         for j in range(FIELDS):
             a, b = (LEADING + -(-(k * (n - LEADING)) // FIELDS) for k in (j, j + 1))
             a, b = head + np.minimum(a, n), head + np.minimum(b, n)
@@ -64,20 +66,20 @@ def template_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         keys.append(np.concatenate(own))
     at = doc[head]
     number = breaks[starts[head]] - breaks[offs[at]]
-    every = lambda x: np.concatenate([x[ok]] + [x[general]] * FIELDS)
-    return keys[0], keys[1], every(at), every(number)
+    every = lambda x: np.concatenate([x] + [x[general]] * FIELDS)
+    return keys[0], keys[1], every(at), every(number), every(short)
 
 
 def _keyed(batches):
-    """Rows of (k1, k2, o, rid, line) from (o, rid, text)."""
+    """Rows of (k1, k2, o, rid, line, short) from (o, rid, text)."""
     for batch in batches:
         data, offs = _text.utf8(batch.column("text"))
         o, rid = batch.column("o").to_numpy(), batch.column("rid").to_numpy()
         for i, j in _text.slices(offs, SLICE_BYTES):
-            k1, k2, doc, line = template_keys(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            k1, k2, doc, line, short = template_keys(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1.view(np.int64)), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(o[i:j][doc]), pa.array(rid[i:j][doc]), pa.array(line.astype(np.int32))],
-                ["k1", "k2", "o", "rid", "line"],
+                [pa.array(k1.view(np.int64)), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(o[i:j][doc]), pa.array(rid[i:j][doc]), pa.array(line.astype(np.int32)), pa.array(short)],
+                ["k1", "k2", "o", "rid", "line", "short"],
             )
 
 
@@ -87,9 +89,12 @@ def _identity() -> list[Column]:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(o, rid, lines): the numbers of the lines to drop, for each document that has some."""
-    keyed = docs.where(F.col("text").isNotNull()).select(*_identity(), "text").mapInArrow(_keyed, "k1 long, k2 int, o long, rid long, line int")
-    recurring = keyed.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("k1", "k2", "first")
-    recurring = written(recurring, "templates")
+    keyed = docs.where(F.col("text").isNotNull()).select(*_identity(), "text").mapInArrow(_keyed, "k1 long, k2 int, o long, rid long, line int, short boolean")
+    recurring = keyed.where("not short").groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("k1", "k2", "first")
+    # a document counts once, however often it has the line
+    shared = keyed.where("short").select("k1", "k2", "o").distinct().groupBy("k1", "k2").agg(F.min("o").alias("first"), F.count("*").alias("n"))
+    shared = shared.where(F.col("n") > SHORT_DOCS).select("k1", "k2", "first")
+    recurring = written(recurring.unionByName(shared), "templates")
     hits = keyed.join(recurring, ["k1", "k2"]).where("o > first").select("o", "rid", "line")
     return written(hits.groupBy("o", "rid").agg(F.collect_set("line").alias("lines")), "dropped")
 
