@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_bagminhash": near_dedup.op4_bagminhash,
         "op5_blocked_bloom": url_filter.op5_blocked_bloom,
+        "op5_blocked_bloom_all_hosts": url_filter.op5_blocked_bloom_all_hosts,
         "op6_bounded_ring": sharding.op6_bounded_ring,
         "op7_token_store": token_store.op7_token_store,
         "op8_fm_index_decontamination": decontaminate.op8_fm_index_decontamination,
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
     return {
         "op2_quality_cascade": quality_rules.oracle(),
         "op5_blocked_bloom": url_filter.oracle(),
+        "op5_blocked_bloom_all_hosts": url_filter.oracle_all_hosts(),
         "op8_fm_index_decontamination": decontaminate.oracle(),
     }

@@ -26,6 +26,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 #: Hosts whose crawled URLs are on the list of :func:`op5_blocked_bloom`.
 LISTED_HOSTS = r"(^|\.)spam-[^.]*\."
+#: Families of bad hosts whose crawled URLs are on the list of :func:`op5_blocked_bloom_all_hosts`.
+BAD_HOSTS = r"(^|\.)((spam|casino|ads)-[^.]*|[^.]*-(bets|pills))\."
 
 
 def host_of(url: Column) -> Column:
@@ -94,6 +96,12 @@ def op5_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, pages.where(host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url"))
 
 
+def op5_blocked_bloom_all_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages; listed is the canonical URL of every page of a bad host, whatever its family."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, pages.where(host_of(F.col("url")).rlike(BAD_HOSTS)).select("url"))
+
+
 def oracle() -> str:
     """DuckDB SQL of op5's result."""
     return r"""
@@ -119,3 +127,8 @@ select page_id, host, path, rule, case
   when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
   when canonical in (select canonical from listed) then 'block' else 'allow' end as verdict
 from r"""
+
+
+def oracle_all_hosts() -> str:
+    """DuckDB SQL of the result with all families listed."""
+    return oracle().replace(LISTED_HOSTS, BAD_HOSTS)
