@@ -313,13 +313,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, or have no text.
+    """One row of ``docs`` for each class, its first, and all rows without a text.
 
-    Rows that equal the first in ``doc_id`` and text are the same document and stay too.
+    Of rows that equal the first in text and in ``doc_id`` or its lack, the one with the least columns
+    stays. They are combined before the shuffle, so a document with thousands of copies is a row a task.
     """
     first = classes(docs, similarity).select(F.col("class_o").alias("__o"), F.col("class_digest").alias("__digest")).distinct()
     o, digest = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.unhex(F.md5("text"))
-    kept = docs.where(F.col("text").isNotNull()).join(first, (o == F.col("__o")) & (digest == F.col("__digest")), "left_semi")
+    texts = docs.where(F.col("text").isNotNull()).select(o.alias("__o"), digest.alias("__digest"), F.struct(*docs.columns).alias("__row"))
+    own = texts.groupBy("__o", "__digest").agg(F.min("__row").alias("__row"))
+    kept = own.join(first, ["__o", "__digest"], "left_semi").select("__row.*")
     return kept.unionByName(docs.where(F.col("text").isNull()))
 
 
