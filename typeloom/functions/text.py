@@ -33,6 +33,11 @@ def first_links(notes: DataFrame) -> DataFrame:
     return notes.select("path", *[F.coalesce(first[n], F.lit("")).alias(n) for n in ("target", "anchor", "block")])
 
 
+def all_links(notes: DataFrame) -> DataFrame:
+    """(path, pos, and all parts): every link of every note, in order of appearance."""
+    return notes.select("path", F.posexplode(links_in(F.col("body"))).alias("pos", "link")).select("path", "pos", *[F.col("link")[n].alias(n) for n in PARTS])
+
+
 def headings(notes: DataFrame) -> DataFrame:
     """(path, line, level, text, section): ATX headings with the path of headings above, root first."""
     lines = notes.select("path", F.posexplode(F.split("body", "\n")).alias("line", "l")).where(F.col("l").rlike("^#{1,6} "))

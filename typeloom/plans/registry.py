@@ -582,6 +582,12 @@ def wikilinks(notes):
     return X.first_links(notes)
 
 
+@_query(None, "kb_notes")
+def wikilinks_all(notes):
+    """Every link with all its parts; ``wikilinks`` has the first of each note."""
+    return X.all_links(notes)
+
+
 @_query("select path, cast(i - 1 as bigint) as line, length(regexp_extract(l, '^(#{1,6}) ', 1)) as level, trim(regexp_replace(l, '^#{1,6} ', '')) as text from (select path, ls[i] as l, i from (select path, ls, unnest(range(1, len(ls) + 1)) as i from (select path, string_split(body, chr(10)) as ls from {kb_notes}))) where regexp_matches(l, '^#{1,6} ')".replace("{1,6}", "{{1,6}}").replace("{{", "{").replace("}}", "}"), "kb_notes")
 def headings(notes):
     return X.headings(notes).select("path", "line", "level", "text")
