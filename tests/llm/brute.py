@@ -35,27 +35,47 @@ def near_classes(rows, similarity=0.8):
     return {k: find(k) for k in root}
 
 
-def templates(line):
-    tokens = [t if not re.search("[0-9]", t) else ("<*>",) for t in SPACE.findall(line)]
-    n = len(tokens)
-    out = []
-    if n >= 4:
-        out.append(tuple(tokens))
-    if n >= 8:
-        cut = [2 + -(-(k * (n - 2)) // 3) for k in range(4)]
-        for j in range(3):
-            out.append((j, *(t if not cut[j] <= i < cut[j + 1] else None for i, t in enumerate(tokens))))
+def line_templates(rows, leading=2, constant=0.6, shares=(0.2, 0.02)):
+    """line -> its templates (tuples of tokens, None for a variable field), over rows (document, text)."""
+    docs, out = collections.defaultdict(set), {}
+    for k, text in rows:
+        for line in (text or "").split("\n"):
+            tokens = tuple(SPACE.findall(line))
+            if tokens:
+                docs[tokens].add(k)
+    free = lambda tokens: tuple(None if re.search("[0-9]", t) else t for t in tokens)
+    enough = lambda tokens: sum(t is not None for t in tokens) >= constant * len(tokens)
+    leaves = collections.defaultdict(list)
+    for tokens in docs:
+        out[tokens] = {("exact", tokens)}
+        masked = free(tokens)
+        if enough(masked):
+            if masked != tokens:
+                out[tokens].add(("leaf", masked))
+            if len(tokens) > leading + 1:
+                leaves[len(tokens), masked[:leading]].append(tokens)
+    for members in leaves.values():
+        at = collections.defaultdict(list)
+        for tokens in members:
+            for i, t in enumerate(free(tokens)):
+                at[i, t].append(tokens)
+        for tokens in members:
+            for share in shares:
+                fixed = lambda i, t: i < leading or (len(at[i, t]) >= share * len(members) and len(set().union(*(docs[m] for m in at[i, t]))) > 1)
+                general = tuple(t if t is not None and fixed(i, t) else None for i, t in enumerate(free(tokens)))
+                if enough(general) and any(t is not None for t in general[leading:]):
+                    out[tokens].add(("leaf", general))
     return out
 
 
 def line_dedup(rows):
     """doc_id -> kept text."""
-    first, last = {}, {}
+    own, docs = line_templates(rows), collections.defaultdict(set)
     for k, text in rows:
         for line in (text or "").split("\n"):
-            for t in templates(line):
-                first[t], last[t] = min(first.get(t, k), k), max(last.get(t, k), k)
-    drop = lambda k, line: any(first[t] < last[t] and k > first[t] for t in templates(line))
+            for t in own.get(tuple(SPACE.findall(line)), ()):
+                docs[t].add(k)
+    drop = lambda k, line: any(len(docs[t]) > 1 and k > min(docs[t]) for t in own.get(tuple(SPACE.findall(line)), ()))
     return {k: text if text is None else "\n".join(x for x in text.split("\n") if not drop(k, x)) for k, text in rows}
 
 

@@ -294,9 +294,6 @@ def test_line_dedup(spark, edges):
     assert len(out) == len(EDGES) + 1 and {r.doc_id: r.text for r in out} == want
     assert want[18] == "" and want[12] == prose(60, 4) and want[11] == EDGES[10][1]
     assert line_dedup.drop_recurring_lines(edges.limit(0)).count() == 0
-    rows = [(None, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (2, "x\na b c d e")]
-    got = sorted((str(r.doc_id), r.text) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [("2", ""), ("2", "x"), ("None", "a b c d e"), ("None", "a b c d e")]
 
 
 def test_line_dedup_on_documents(spark):

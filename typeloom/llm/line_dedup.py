@@ -1,21 +1,28 @@
 """Lines that recur across documents, by a log-template tree of fixed depth.
 
-Path of a line in the tree: its number of tokens, then its leading ``LEADING`` tokens. A token with a
-digit is a variable field from the start. Below the leaf the rest of the line is cut into ``FIELDS``
-even runs of tokens; the line belongs to the template of all its constant tokens and, if it has
-``GENERAL`` tokens or more, to the templates that have one of those runs as a variable field. All
-lines of one template agree in every other place, whatever the order in which they come, so a
-template is a key: its first and last document are a partial aggregate, and no leaf is ever
-collected, however many lines or documents share it.
-
-A template whose first and last ``doc_id`` differ recurs. Its lines are dropped from every document
-but the first, so that one document still has the line. Lines under ``SHORTEST`` tokens coincide by
-chance: their key is their exact tokens, digits too, and recurs if more than ``SHORT_DOCS`` documents
-share it. Keys have 96 bits.
-
-Null and empty texts stay as they are, with no lines dropped. Rows with equal ``doc_id`` (null is one
-such value) are one document: what only they share doesn't recur. An empty table gives no rows.
-Columns named ``n_lines`` or ``n_dropped`` are replaced.
+Path of a line in the tree: its number of tokens, then its ``LEADING`` leading tokens; a token with a
+digit is a variable field from the start. The leaf at the end of the path holds all distinct lines with
+that path, and generalises them by how often a token stands at a place: in each leaf a token is a
+constant of its place if lines of two documents or more have it there and it makes up a share of the
+leaf's distinct lines; every other token is a variable field. ``SHARES`` has the shares asked for, so that
+a leaf may hold up to 5 and up to 50 templates. A line's templates are
+
+* its exact tokens,
+* its tokens with digits made variable,
+* for each share, its constants in the leaf,
+
+the generalised ones only if ``CONSTANT`` of all tokens are constant, for the leaf's also at least one
+behind the leading ones. The order of lines plays no part, and no leaf is ever collected: counts are
+partial aggregates, a leaf's constants are bounded by its line length, and lines meet them by a join
+that deals hot leaves over many tasks.
+
+A template whose first and last document differ recurs. Its lines are dropped from every document but
+the first, so that one document still has the line. Keys have 96 bits and decide alone.
+
+Null and empty texts stay as they are, with no lines dropped. Rows with equal ``doc_id`` are one
+document, and so are rows without ``doc_id`` that have equal texts: what only they share doesn't recur.
+Very long texts and lines are read whole; a text of more than ``SLICE_BYTES`` is hashed by itself. An
+empty table gives no rows. Columns named ``n_lines`` or ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -26,77 +33,153 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm import _text
-from typeloom.plans.shared import written
+from typeloom.plans.shared import drop_written, written
+from typeloom.plans.skew import hot_keys, spread_join
 
-LEADING, FIELDS, SHORTEST, GENERAL = 2, 3, 4, 8
-SHORT_DOCS = 10
+LEADING, CONSTANT, SHARES = 2, 0.6, (0.2, 0.02)
 SLICE_BYTES = 2 << 20
 _K = [int(x) for x in np.random.default_rng(20).integers(1 << 62, 1 << 63, 8)]
-
-
-def template_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all templates of all lines: two hashes, the document's number, the line's number in it, and whether it is short."""
-    U = np.uint64
-    starts, ends, woffs = _text.spans(data, offs, _text.NOT_SPACE)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none.astype(U), none.astype(U), none, none, none.astype(bool)
-    h = _text.hashes(data, starts, ends, lower=False)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    doc = _text.owner(woffs)
-    line = breaks[starts] + doc
-    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    n = np.diff(np.concatenate([head, [len(h)]]))
-    place = (np.arange(len(h)) - np.repeat(head, n)).astype(U)
-    short = n < SHORTEST
-    h = np.where((digits[ends] > digits[starts]) & ~np.repeat(short, n), U(_K[0]), h)
-    general = n >= GENERAL
-    keys = []
-    for salt in (_K[1], _K[2]):
-        total = np.zeros(len(h) + 1, U)
-        np.cumsum(_text.mix(h + place * U(_K[3]) + U(salt)), dtype=U, out=total[1:])
-        whole = total[head + n] - total[head]
-        depth = n.astype(U) * U(_K[4])
-        own = [_text.mix(whole + depth)]
-        for j in range(FIELDS):
-            a, b = (LEADING + -(-(k * (n - LEADING)) // FIELDS) for k in (j, j + 1))
-            a, b = head + np.minimum(a, n), head + np.minimum(b, n)
-            own.append(_text.mix(whole - (total[b] - total[a]) + depth + U((j + 1) * _K[5] & (1 << 64) - 1))[general])
-        keys.append(np.concatenate(own))
-    at = doc[head]
-    number = breaks[starts[head]] - breaks[offs[at]]
-    every = lambda x: np.concatenate([x] + [x[general]] * FIELDS)
-    return keys[0], keys[1], every(at), every(number), every(short)
-
-
-def _keyed(batches):
-    """Rows of (k1, k2, o, rid, line, short) from (o, rid, text)."""
+U = np.uint64
+
+
+class Lines:
+    """Lines with tokens of some documents: 96-bit keys of their exact tokens and of those without digits, leaves and tokens."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        starts, ends, woffs = _text.spans(data, offs, _text.NOT_SPACE)
+        breaks = np.concatenate([[0], np.cumsum(data == 10)])
+        owner = _text.owner(woffs)
+        line = breaks[starts] + owner
+        head = np.flatnonzero(np.concatenate([[len(starts) > 0], line[1:] != line[:-1]]))
+        self.size = np.diff(np.concatenate([head, [len(starts)]]))
+        self.doc = owner[head]
+        self.number = breaks[starts[head]] - breaks[offs[self.doc]]
+        exact = _text.hashes(data, starts, ends, lower=False)
+        digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        variable = digits[ends] > digits[starts]
+        masked = np.where(variable, U(_K[0]), exact)
+        place = (np.arange(len(exact)) - np.repeat(head, self.size)).astype(U)
+        length = self.size.astype(U) * U(_K[4])
+
+        def keys(h: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
+            out = []
+            for salt in (_K[1], _K[2]):
+                total = np.zeros(len(h) + 1, U)
+                np.cumsum(_text.mix(h + place * U(_K[3]) + U(salt)), dtype=U, out=total[1:])
+                out.append(_text.mix(total[head + upto] - total[head] + length))
+            return out
+
+        self.exact, self.masked = keys(exact, self.size), keys(masked, self.size)
+        constants = self.size - np.add.reduceat(variable, head).astype(np.int64) if len(head) else self.size
+        self.has_masked = (constants < self.size) & (constants >= CONSTANT * self.size)
+        self.has_leaf = (self.size > LEADING + 1) & (constants >= CONSTANT * self.size)
+        self.leaf = _text.mix(keys(masked, np.minimum(self.size, LEADING))[0] + U(_K[5]))
+        self.tokens = np.where(variable, 0, (masked >> U(32)) | U(1)).astype(np.uint32).view(np.int32)
+
+
+def _pair(keys: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    return pa.array(keys[0].view(np.int64)), pa.array((keys[1] >> U(32)).astype(np.uint32).view(np.int32))
+
+
+def _each(batches):
     for batch in batches:
         data, offs = _text.utf8(batch.column("text"))
         o, rid = batch.column("o").to_numpy(), batch.column("rid").to_numpy()
         for i, j in _text.slices(offs, SLICE_BYTES):
-            k1, k2, doc, line, short = template_keys(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1.view(np.int64)), pa.array((k2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(o[i:j][doc]), pa.array(rid[i:j][doc]), pa.array(line.astype(np.int32)), pa.array(short)],
-                ["k1", "k2", "o", "rid", "line", "short"],
-            )
+            yield Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), o[i:j], rid[i:j]
+
+
+def _keyed(batches):
+    """Rows of (k1, k2, leaf, o, rid, line): each line's exact key with its leaf, and its key without digits."""
+    for x, o, rid in _each(batches):
+        for keys, has, leaf in ((x.exact, slice(None), x.leaf), (x.masked, x.has_masked, None)):
+            doc = x.doc[has]
+            leaves = pa.array(leaf.view(np.int64), mask=~x.has_leaf) if leaf is not None else pa.nulls(len(doc), pa.int64())
+            columns = [*_pair([k[has] for k in keys]), leaves, pa.array(o[doc]), pa.array(rid[doc]), pa.array(x.number[has].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "o", "rid", "line"])
+
+
+def _tokenised(batches):
+    """Rows of (k1, k2, leaf, o, tokens): lines with a leaf; a token with a digit is 0."""
+    for x, o, _ in _each(batches):
+        has = x.has_leaf
+        offs = np.concatenate([[0], np.cumsum(x.size[has])]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(offs), pa.array(x.tokens[np.repeat(has, x.size)]))
+        columns = [*_pair([k[has] for k in x.exact]), pa.array(x.leaf[has].view(np.int64)), pa.array(o[x.doc[has]]), tokens]
+        yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "o", "tokens"])
+
+
+def _generalised(batches):
+    """Rows of (g1, g2, k1, k2, first, last): the templates of a leaf that a line (…, n, tokens, constants) belongs to."""
+    for batch in batches:
+        rows, kept = [], {c: batch.column(c) for c in ("k1", "k2", "first", "last")}
+        for r in range(batch.num_rows):
+            tokens = batch.column("tokens")[r].values.to_numpy(zero_copy_only=False)
+            known = batch.column("constants")[r].values
+            spot, count = (known.field(c).to_numpy(zero_copy_only=False) for c in ("spot", "c"))
+            n, size = batch.column("n")[r].as_py(), len(tokens)
+            leaf = U(batch.column("leaf")[r].as_py() & (1 << 64) - 1)
+            own = (np.arange(size, dtype=np.int64) << 32) | (tokens.view(np.uint32).astype(np.int64))
+            seen = set()
+            for share in SHARES:
+                constant = np.isin(own, spot[count >= share * n])
+                constant[:LEADING] = tokens[:LEADING] != 0
+                many = int(constant.sum())
+                if many < CONSTANT * size or many <= int(constant[:LEADING].sum()) or many == int((tokens != 0).sum()):
+                    continue
+                h = np.where(constant, own.view(U), U(0)) + np.arange(size).astype(U) * U(_K[3])
+                key = tuple(int(_text.mix(np.sum(_text.mix(h + U(s)), dtype=U, keepdims=True) + leaf)[0]) for s in (_K[6], _K[7]))
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((r, *key))
+        at = pa.array([r for r, _, _ in rows], pa.int64())
+        keys = _pair([np.array([x[k] for x in rows], U) for k in (1, 2)])
+        yield pa.RecordBatch.from_arrays([*keys, *(kept[c].take(at) for c in kept)], ["g1", "g2", *kept])
 
 
 def _identity() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("rid")]
+    """(o, rid): the document, and the row's text. A row without an id is the document of its text; its o is below all ids but the lowest."""
+    text = F.coalesce(F.xxhash64("text"), F.lit(0))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.shiftrightunsigned(text, 3)).alias("o"), text.alias("rid")]
+
+
+def leaf_templates(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(k1, k2, first) of the exact lines that belong to a recurring template of their leaf; ``lines`` has (k1, k2, leaf, first, last, n)."""
+    leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    leaves = written(leaves.where("lines > 1 and first < last").select("leaf", "lines", "n"), "leaves")
+    hot = hot_keys(leaves, ["leaf"])
+    tokens = texts.mapInArrow(_tokenised, "k1 long, k2 int, leaf long, o long, tokens array<int>")
+    opened = spread_join(tokens, leaves.select("leaf", F.col("lines").alias("n")), ["leaf"], hot, ["k1"])
+    opened = opened.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens"))
+    opened = written(opened, "open-lines")
+    each = opened.select("leaf", "n", "first", "last", F.posexplode("tokens").alias("place", "token")).where(f"place >= {LEADING} and token <> 0")
+    each = each.groupBy("leaf", "place", "token").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    spot = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("token").cast("long").bitwiseAND(0xFFFFFFFF))
+    constant = each.where(F.col("c") >= min(SHARES) * F.col("n")).where("first < last").select("leaf", F.struct(spot.alias("spot"), "c").alias("s"))
+    constants = constant.groupBy("leaf").agg(F.collect_list("s").alias("constants"))
+    met = spread_join(opened, constants, ["leaf"], hot, ["k1"])
+    general = met.select("k1", "k2", "leaf", "n", "first", "last", "tokens", "constants").mapInArrow(_generalised, "g1 long, g2 int, k1 long, k2 int, first long, last long")
+    general = written(general, "leaf-templates")
+    found = general.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
+    found = written(found, "recurring-leaf-templates")
+    return spread_join(general.select("g1", "g2", "k1", "k2"), found.select("g1", "g2", "a"), ["g1", "g2"], hot_keys(found, ["g1", "g2"]), ["k1"]).select("k1", "k2", F.col("a").alias("first"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(o, rid, lines): the numbers of the lines to drop, for each document that has some."""
-    keyed = docs.where(F.col("text").isNotNull()).select(*_identity(), "text").mapInArrow(_keyed, "k1 long, k2 int, o long, rid long, line int, short boolean")
-    recurring = keyed.where("not short").groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("k1", "k2", "first")
-    # a document counts once, however often it has the line
-    shared = keyed.where("short").select("k1", "k2", "o").distinct().groupBy("k1", "k2").agg(F.min("o").alias("first"), F.count("*").alias("n"))
-    shared = shared.where(F.col("n") > SHORT_DOCS).select("k1", "k2", "first")
-    recurring = written(recurring.unionByName(shared), "templates")
-    hits = keyed.join(recurring, ["k1", "k2"]).where("o > first").select("o", "rid", "line")
-    return written(hits.groupBy("o", "rid").agg(F.collect_set("line").alias("lines")), "dropped")
+    texts = docs.where(F.col("text").isNotNull()).select(*_identity(), "text")
+    keyed = texts.mapInArrow(_keyed, "k1 long, k2 int, leaf long, o long, rid long, line int")
+    lines = keyed.groupBy("k1", "k2").agg(F.min("leaf").alias("leaf"), F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"))
+    lines = written(lines, "lines")
+    own = lines.where("first < last").select("k1", "k2", "first")
+    recurring = own.unionByName(leaf_templates(texts, lines)).groupBy("k1", "k2").agg(F.min("first").alias("first"))
+    recurring = written(recurring, "templates")
+    hot = hot_keys(lines, ["k1", "k2"])
+    hits = spread_join(keyed.drop("leaf"), recurring, ["k1", "k2"], hot, ["o", "line"]).where("o > first").select("o", "rid", "line")
+    out = written(hits.groupBy("o", "rid").agg(F.collect_set("line").alias("lines")), "dropped")
+    for used in (lines, recurring):
+        drop_written(used)
+    return out
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -107,7 +190,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*names, o.alias("__ko"), rid.alias("__kr"))
     joined = keyed.join(drops, (F.col("__ko") == F.col("__o")) & (F.col("__kr") == F.col("__rid")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__lines")  # by a hash set, in order
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).alias("n_dropped"))
 
