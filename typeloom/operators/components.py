@@ -6,25 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.plans.shared import drop_written, written
+from typeloom.plans.skew import hot_keys, spread_join
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b); a component is named by its least node.
 
     Alternating large-star and small-star steps: each is a minimum per node, combined before the
-    shuffle, and a join on that node, so a node of any degree splits over tasks. A round's edges are
-    written to the shared folder, and the loop ends when they stop changing.
+    shuffle, and a join on that node that deals nodes of very many edges over tasks. A round's edges are
+    written to the shared folder, and the loop goes on until they stop changing.
     """
     now = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # every greater neighbour of u moves to u's least neighbour
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # every lesser neighbour of u, and u itself, moves to the least of them
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _starred(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         after = written(small.where("u <> v").distinct(), "edges")
         found = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_written(now)
@@ -34,3 +33,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = found
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _starred(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with m, the least v of u."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return spread_join(pairs, low.drop("n"), ["u"], hot_keys(low, ["u"]), ["v"])

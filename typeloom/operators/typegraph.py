@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 
 from typeloom.plans.shared import written
 
-DEPTH = 64
 PRIMITIVES = ("String", "Number", "Boolean", "Date", "DateTime", "Url", "any", "opaque", "file", "type")
 
 
-def transitive(start: DataFrame, steps: DataFrame, depth: int = DEPTH) -> DataFrame:
+def transitive(start: DataFrame, steps: DataFrame) -> DataFrame:
     """(name, member): reflexive closure of ``start`` (name) over steps (child, parent); cycles are legal.
 
-    Semi-naive: each round joins only the pairs that the last one found.
+    Semi-naive: each round joins only the pairs that the last one found, until there are none.
     """
     reach = written(start.select("name", F.col("name").alias("member")).distinct(), "closure")
     front = reach
-    for _ in range(depth):
+    while True:
         found = front.join(steps.select(F.col("child").alias("member"), "parent"), "member").select("name", F.col("parent").alias("member")).distinct()
         front = written(found.join(reach, ["name", "member"], "left_anti"), "front")
         if front.isEmpty():

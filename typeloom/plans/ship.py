@@ -8,11 +8,22 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch to or from Python, unless the application has set it.
+BATCH_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
 
 
+def _is_set(spark: SparkSession, key: str) -> bool:
+    return bool(spark._jsparkSession.sessionState().conf().contains(key))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors and bound the bytes of Arrow batches, once for each application.
+
+    Without the bound a batch has 10,000 rows, whatever the length of their texts.
+    """
+    if not _is_set(spark, "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -11,9 +11,9 @@ SHARE, FLOOR, SALTS = 4096, 256, 64
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> list[tuple]:
     """The hot keys of a table of row counts (keys, n): fewer than ``SHARE`` of them, whatever the table's size."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    found = counts.where(F.col(n) > max(FLOOR, total / SHARE)).select(*keys).collect()
-    return [tuple(r) for r in found]
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    least = max(FLOOR, (total or 0) / SHARE)
+    return [tuple(r) for r in counts.where(F.col(n) > least).select(*keys).collect()] if (most or 0) > least else []
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: list[tuple], by: list[str], how: str = "inner") -> DataFrame:
