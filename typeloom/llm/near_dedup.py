@@ -12,11 +12,12 @@
    leader, never against each other; components of the verified links follow. Only members in
    different components of their bucket are still open. The next leader is the open bucket's member of
    most links, and a member meets ``LEADERS`` of them a round. After ``STARS`` rounds what is open is
-   searched whole, in blocks: outsiders of each bucket's greatest component against the bucket's
-   members, block by block of about ``BLOCK_BYTES`` of text. A block pair is verified within its task,
-   which gives one link for each outsider and component, never all pairs. Leader pairs whose signatures
-   agree in under ``LEAST`` of the places (four standard deviations below the threshold) aren't
-   verified. So no link that the bands find is lost.
+   searched whole, in blocks of about ``BLOCK_BYTES`` of text: outsiders of each bucket's greatest
+   component against the bucket's members. A pair of blocks is a row of its own, so one bucket spreads
+   over as many tasks as it has block pairs; it is verified within its task, which gives one link for
+   each outsider and component, never all pairs. Leader pairs whose signatures agree in under ``LEAST``
+   of the places (four standard deviations below the threshold) aren't verified. So no link that the
+   bands find is lost. Joins on a bucket or a leader deal hot ones over many tasks.
 4. Verification is exact: sum of minima over sum of maxima of the shingle counts, 0.8 or more.
 
 With 16 bands of 5 a pair of similarity 0.8 meets in a bucket with probability 0.998.
@@ -30,8 +31,6 @@ any other; a class without any ``doc_id`` has a null ``class_id``. Empty tables
 
 from __future__ import annotations
 
-import contextlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 from typeloom.llm import _text
 from typeloom.operators.components import connected_components
 from typeloom.plans.shared import drop_written, written
+from typeloom.plans.skew import hot_keys, spread_join
 
 WORDS, SIMILARITY = 5, 0.8
 #: Places of a signature; the first BANDS * ROWS make bands, all of them estimate similarity.
@@ -124,12 +124,12 @@ def _signed(batches):
 def _similar(batches):
     """(a, b, similarity) of (a, b, text_a, text_b): the exact weighted Jaccard similarity."""
     for batch in batches:
-        n, done = batch.num_rows, 0
-        while done < n:
-            step = min(n - done, 128)
-            part = batch.slice(done, step)
-            texts = pa.concat_arrays([part.column("text_a"), part.column("text_b")])
-            s, count, doc, _ = bags(*_text.utf8(texts))
+        sides = [_text.utf8(batch.column(c)) for c in ("text_a", "text_b")]
+        for i, j in _text.slices(sides[0][1] + sides[1][1], SLICE_BYTES):
+            step = j - i
+            data = np.concatenate([d[o[i] : o[j]] for d, o in sides])
+            size = np.concatenate([np.diff(o[i : j + 1]) for _, o in sides])
+            s, count, doc, _ = bags(data, np.concatenate([[0], np.cumsum(size)]))
             pair, side = doc % step, doc // step
             order = np.lexsort((side, s, pair))
             s, count, pair = s[order], count[order], pair[order]
@@ -139,8 +139,8 @@ def _similar(batches):
             at = np.flatnonzero(same)
             both = np.bincount(pair[at], np.minimum(count[at], count[at - 1]), step)
             total = np.bincount(pair, count, step)
+            part = batch.slice(i, step)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both / np.maximum(total - both, 1))], ["a", "b", "similarity"])
-            done += step
 
 
 def _agreeing(batches):
@@ -188,18 +188,6 @@ def _linked_blocks(similarity: float):
 NO_ID = (1 << 63) - 1
 
 
-@contextlib.contextmanager
-def _few_rows_a_batch(spark: SparkSession, rows: int = 2):
-    """Rows that hold whole blocks come to Python a few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _identity(docs: DataFrame) -> DataFrame:
     """(digest, o, text): o is doc_id, or the greatest long where that is null."""
     return docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("digest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), "text")
@@ -219,20 +207,28 @@ class _Graph:
         nodes = self.signed.groupBy("digest").agg(F.min("o").alias("o"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
         self.nodes = written(nodes, "nodes")
         bucket = self.nodes.where(F.col("bands").isNotNull()).select("digest", F.explode("bands").alias("key"))
-        lead = bucket.groupBy("key").agg(F.min("digest").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        self.members = written(bucket.join(lead, "key").select("key", "digest", "lead"), "buckets")
+        lead = written(bucket.groupBy("key").agg(F.min("digest").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
+        self.hot = hot_keys(lead, ["key"])
+        self.members = written(self.spread(bucket, lead.select("key", "lead")), "buckets")
+        drop_written(lead)
         inside = self.members.select("digest").distinct().join(self.nodes.select("digest", "o"), "digest")
         self.texts = written(texts.join(inside, ["digest", "o"]).groupBy("digest").agg(F.any_value("text").alias("text")), "texts")
         self.links = self.tried = None
 
+    def spread(self, rows: DataFrame, by_key: DataFrame) -> DataFrame:
+        """Rows of buckets joined with one row for each bucket."""
+        return spread_join(rows, by_key, ["key"], self.hot, ["digest"])
+
     def verify(self, pairs: DataFrame) -> int:
-        """Compare candidate pairs (a, b); how many new links there are."""
+        """Compare candidate pairs (a, b), a written table; how many new links there are."""
+        each = pairs.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+        hot = hot_keys(written(each, "pair-counts"), ["digest"])
         sketches = self.nodes.select("digest", "sketch")
-        for side in ("a", "b"):
-            pairs = pairs.join(sketches.withColumnsRenamed({"digest": side, "sketch": f"sketch_{side}"}), side)
+        for side, other in (("a", "b"), ("b", "a")):
+            pairs = spread_join(pairs, sketches.withColumnsRenamed({"digest": side, "sketch": f"sketch_{side}"}), [side], hot, [other])
         close = pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing, "a binary, b binary")
-        for side in ("b", "a"):
-            close = close.join(self.texts.withColumnsRenamed({"digest": side, "text": f"text_{side}"}), side)
+        for side, other in (("b", "a"), ("a", "b")):
+            close = spread_join(close, self.texts.withColumnsRenamed({"digest": side, "text": f"text_{side}"}), [side], hot, [other])
         found = written(close.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a binary, b binary, similarity double"), "verified")
         links = found.where(F.col("similarity") >= self.similarity).select("a", "b")
         self.links = links if self.links is None else self.links.unionByName(links)
@@ -240,14 +236,15 @@ class _Graph:
 
     def labelled(self) -> DataFrame:
         """Members with their component and number of links, for buckets that several components share."""
-        parts = connected_components(self.links)
-        self.parts = parts
+        self.parts = connected_components(self.links)
         each = self.links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree"))
-        label = each.join(parts.withColumnRenamed("node", "digest"), "digest", "left")
+        label = each.join(self.parts.withColumnRenamed("node", "digest"), "digest", "left")
         now = self.members.select("key", "digest").join(label, "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
         now = written(now, "labelled")
         split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        return written(now.join(split, "key"), "open")
+        left = written(self.spread(now, split), "open")
+        drop_written(now)
+        return left
 
     def fresh(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that no round has tried; they count as tried from now on."""
@@ -265,29 +262,34 @@ class _Graph:
         for _ in range(STARS - 1):
             left = self.labelled()
             lead = left.groupBy("key").agg(F.max(F.struct("degree", "digest", "component")).alias("lead"))
-            pairs = left.join(lead, "key").where("component <> lead.component")
+            pairs = self.spread(left, lead).where("component <> lead.component")
             met = pairs.select("digest", "lead.degree", F.col("lead.digest").alias("b")).distinct()
             rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("degree"), "b"))
             pairs = met.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("digest").alias("a"), "b")
-            if not self.verify(self.fresh(pairs)):
+            found = self.verify(self.fresh(pairs))
+            drop_written(left)
+            if not found:
                 break
-        left = self.labelled()
-        sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        great = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("great"))
-        near = left.join(self.texts, "digest")
-        chars = near.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"))
-        near = near.join(great.join(chars, "key"), "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.ceil(F.col("bytes") / BLOCK_BYTES)))
-        member = F.struct("digest", "component", "text")
-        inside = near.groupBy("key", "block").agg(F.collect_list(member).alias("inside")).drop("block")
-        outside = near.where("component <> great.component").groupBy("key", "block").agg(F.collect_list(member).alias("outside")).drop("block")
-        rest = outside.join(inside, "key").select("outside", "inside").mapInArrow(_linked_blocks(self.similarity), "a binary, b binary")
-        with _few_rows_a_batch(left.sparkSession):
-            found = written(_ordered(rest).distinct(), "block-links")
+        found = self.search(self.labelled())
         if not found.isEmpty():
             self.links = self.links.unionByName(found)
             self.parts = connected_components(self.links)
         return self.parts
 
+    def search(self, left: DataFrame) -> DataFrame:
+        """Links (a, b) from outsiders of the open buckets' greatest components to the buckets' other members."""
+        sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
+        great = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("great"))
+        near = left.select("key", "digest", "component").join(self.texts, "digest")
+        blocks = near.groupBy("key").agg(F.ceil(F.sum(F.octet_length("text") + 64) / BLOCK_BYTES).alias("blocks"))
+        near = self.spread(near, great.join(blocks, "key")).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+        member = F.struct("digest", "component", "text")
+        inside = near.groupBy("key", "block").agg(F.collect_list(member).alias("inside"))
+        outside = near.where("component <> great").groupBy("key", "block", "blocks").agg(F.collect_list(member).alias("outside"))
+        pairs = outside.select("key", "outside", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(inside, ["key", "block"])
+        found = pairs.select("outside", "inside").mapInArrow(_linked_blocks(self.similarity), "a binary, b binary")
+        return written(_ordered(found).distinct(), "block-links")
+
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(digest, o, class_o, class_digest) for each row with a text: its own identity and that of its class's first."""
