@@ -126,6 +126,38 @@ def test_language_edges(spark, edges):
     assert language_id.identify(edges.limit(0), None).count() == 0
 
 
+def test_language_against_plain_loops(spark):
+    """Features and decoding in plain Python give the same languages, scores and doubts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs)
+    found = {r.doc_id: r for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    half = language_id.DIM // 2
+    for r in docs.collect()[:60]:
+        got = found[r.doc_id]
+        if not any(map(str.isalpha, r.text or "")):
+            assert got.lang_pred == "und" and got.score == 0
+            continue
+        low = b"".join(c.lower().encode() if c.isascii() or 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7 else c.encode() for c in r.text)
+        b = b"\0" + bytes(x if 97 <= x <= 122 or x >= 128 else 0 for x in low) + b"\0"
+        x = np.zeros(language_id.DIM)
+        for base, width in ((0, 2), (half, 3)):
+            grams = [int.from_bytes(b[i : i + width], "big") for i in range(len(b) - width + 1) if b[i] or b[i + 1]]
+            for g in grams:
+                x[base + ((g * 2654435761) % 2**32 >> 21)] += 1
+            x[base : base + half] = np.sqrt(x[base : base + half] / max(len(grams), 1))
+        f = [float(sum(x[i] * model.w[i, k] for i in np.flatnonzero(x)) + model.b[k]) for k in range(model.w.shape[1])]
+        loss = [sum(w * np.log1p(np.exp(-v * c)) for w, v, c in zip(model.weight, f, code)) for code in model.code]
+        order = sorted(range(len(loss)), key=lambda k: loss[k])
+        assert got.lang_pred == model.langs[order[0]] and got.runner_up == model.langs[order[1]]
+        assert abs(got.score - 1 / sum(np.exp(min(loss) - v) for v in loss)) < 1e-4
+
+
+def test_many_short_texts_and_null_ids(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") > 5, F.col("id")).alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"))
+    out = language_id.identify(docs, language_id.learn(docs))
+    assert out.count() == 3000 and {r.lang_pred for r in out.select("lang_pred").distinct().collect()} == {"en"}
+
+
 def test_codewords_correct_errors():
     for n in (3, 4, 7, 12):
         code = language_id.codewords(n)
@@ -178,17 +210,18 @@ def test_null_ids_in_near_duplicates(spark):
 
 def test_url_verdicts(spark, duck):
     urls = [None, "", "no-scheme", "http://", "HTTP://A.Example.COM/en/1", "http://www.example.com/en/x", "https://example.com/en", "https://net/es/", "http://a.b.net/fr/?q=1#x", "http://x.net/de/", "http://notnet/es/", "http://com.org/", "http://é.COM:80/en/",
-            "http://spam-farm.example.org/a//b/index.html?utm_source=1&b=2&a=1", "http://www.spam-farm.example.org:80/a/b?a=1&b=2", "http://spam-x.net/es/1", "http://spam-y.org", "http://spam-y.org/#f", "http://spam-y.org/?ref=1"]
-    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate([*urls, urls[4]])], "page_id long, url string, host string").select("page_id", "url")
-    duck.register("pages", pages.toPandas())
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(url_filter.LISTED_HOSTS))
+            "http://spam-farm.example.org/a//b/index.html?utm_source=1&b=2&a=1", "http://www.spam-farm.example.org:80/a/b?a=1&b=2", "http://spam-x.net/es/1", "http://spam-y.org", "http://spam-y.org/#f", "http://spam-y.org/?ref=1", *[f"http://casino-{k}.org/{k}" for k in range(20)], "http://ads-" + "x" * 50_000 + ".org/" + "y/" * 50_000, "http://a.org/\n"]
+    pages = spark.createDataFrame([(k, u, "", "") for k, u in enumerate([*urls, urls[4]])], "page_id long, url string, host string, canonical string")
+    duck.register("pages", pages.select("page_id", "url").toPandas())
+    listed = url_filter.listed_urls(pages)
+    assert 0 < listed.count() < pages.where(url_filter.host_of(F.col("url")).rlike(url_filter.BAD_HOSTS)).count()
     same(url_filter.judge(pages, listed.select("url")), url_filter.oracle(), duck)
     assert url_filter.judge(pages.limit(0), listed.select("url")).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, listed.select("url").limit(0)).where("rule is null").collect()} == {"allow"}
 
 
 def test_false_positives_are_removed(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BLOCKS", 1)  # one block, soon full: everything is a possible hit
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 1)  # one block, soon full: everything is a possible hit
     listed = spark.range(300).select(F.concat(F.lit("http://l.org/"), "id").alias("url"))
     pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("http://l.org/"), "id").alias("url"))
     assert {r.page_id for r in url_filter.judge(pages, listed).where("verdict = 'block'").collect()} == set(range(300))
@@ -210,6 +243,31 @@ def test_sharding(spark, edges):
     assert small.count() == len(EDGES) + 1 and sharding.assign(edges.limit(0)).count() == 0
 
 
+def test_sharding_without_ids(spark):
+    """Copies without an id or with one id, and many empty texts, are split; the ring is replayed cell by cell."""
+    many = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).cast("long").alias("doc_id"), F.lit("copy " * 100).alias("text"))
+    none = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text"))
+    rest = spark.range(2000).select("id", F.concat(F.lit("text "), "id").alias("text")).withColumnRenamed("id", "doc_id").withColumn("shard", F.lit("s"))
+    out = sharding.assign(many.unionByName(none).unionByName(rest.drop("shard"))).toPandas()
+    size = out.groupby("shard")["size"].sum()
+    assert len(out) == 13000 and len(size) == 16 and size.max() <= 1.01 * size.mean() and size.min() >= 0.97 * size.mean()
+    assert all(sorted(x.slot) == list(range(len(x))) for _, x in out.groupby("shard"))
+    copies = out[out["size"] == 501].groupby("shard").size()
+    assert len(copies) == 16
+
+
+def test_place_against_a_replay():
+    rng = random.Random(8)
+    cells = [(c, rng.getrandbits(64), rng.randrange(1, 400)) for c in range(500)]
+    points, owners = sharding.ring(5)
+    room, want = [1.05 * sum(b for *_, b in cells) / 5] * 5, {}
+    for cell, at, size in sorted(cells, key=lambda c: (-c[2], c[0])):
+        clockwise = [owners[k] for k in sorted(range(len(points)), key=lambda k: (points[k] < at, points[k]))]
+        home = next((s for s in clockwise if room[s] >= size), max(range(5), key=lambda s: room[s]))
+        want[cell], room[home] = home, room[home] - size
+    assert sharding.place(cells, 5, 0.05) == want
+
+
 def test_growth_moves_little():
     rng = random.Random(4)
     cells = [(c, rng.getrandbits(64), rng.randrange(50, 150)) for c in range(4000)]
@@ -277,6 +335,10 @@ def test_decontamination(spark, edges, duck):
     shown = lambda df: df.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))
     same(shown(decontaminate.mark(docs, bench)), decontaminate.oracle(), duck)
     same(shown(decontaminate.mark(docs, bench, block_chars=300)), decontaminate.oracle(), duck)  # several blocks
+    whole = edges.select("doc_id", "text").unionByName(edges.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    by = {(r.doc_id, r.text): r for r in decontaminate.mark(whole, bench).collect()}
+    assert by[15, "x" * 100_000].n_words == 1 and by[15, "x" * 100_000].n_hit == 0
+    assert all(by[None, t][1:] == by[k, t][1:] for k, t in EDGES if t)  # ids play no part
     for r in decontaminate.mark(edges, bench, cut=True).select("doc_id", "text", "n_hit").where("doc_id <> 15").collect():
         own = dict(EDGES)[r.doc_id]
         _, hit, spans, _ = brute.leaks(own, [(k, t) for k, t in items if k is not None])

@@ -58,11 +58,11 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, size: int):
-    """Ranges of documents of about ``size`` bytes; a longer document is a range of its own."""
+def slices(offs: np.ndarray, size: int, rows: int = 1 << 30):
+    """Ranges of at most ``rows`` documents and about ``size`` bytes; a longer document is a range of its own."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1), i + rows)
         yield i, min(j, n)
         i = min(j, n)
 

@@ -3,16 +3,21 @@
 The tokenizer drops white space and never joins what white space parts, so a text's ids are those
 of its chunks between ASCII white space, one after another. Chunks of plain Latin letters, digits
 and signs are cut into the pre-tokens of the vocabulary file's own pattern and given to the
-library's model; every other chunk goes through the library's whole ``encode``.
+library's model; every other chunk goes through the library's whole ``encode``. A vocabulary file with
+another normaliser or pre-tokenizer has its texts encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
 import numpy as np
 
+#: The normaliser and pre-tokenizer for which texts may be cut as below.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
@@ -37,11 +42,13 @@ class Pieces(dict):
     Of two generations with ``most`` entries at most, the older is dropped when the younger is full.
     """
 
-    def __init__(self, path: str | None = None, most: int = 300_000):
+    def __init__(self, path: str | None = None, most: int = 100_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.whole = Tokenizer.from_file(path or vocabulary_path())
+        parts = json.loads(self.whole.to_str())
+        self.known = parts["normalizer"] == NORMALIZER and (parts["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] == SPLIT
         self.model, self.most, self.old = self.whole.model, most, {}
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.code, self.char = "H" if self.kind.itemsize == 2 else "I", _byte_chars()
@@ -78,6 +85,8 @@ class Pieces(dict):
         return ids
 
     def encode(self, text: bytes) -> bytes:
+        if not self.known:
+            return self.pack(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         if b"<|" not in text:  # lower-casing might make a special token of what isn't one
             text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))

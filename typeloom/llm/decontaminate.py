@@ -7,11 +7,13 @@ phrases are searched backwards at once, their occurrences located by sampled suf
 the spans merged. Nothing is shuffled; each document is read once.
 
 The benchmark is the stated query set. It is collected in blocks of ``BLOCK_CHARS`` (as many blocks
-as it takes; item groups by hash), and a task holds one block at a time.
+as it takes; item groups by hash), and a task holds one block at a time: with several, it holds the words
+of about ``HELD_BYTES`` of text, and each block is read once for all their shards.
 
 Null texts and texts without words: no words, no hits, ``n_items`` 0. An item with a null id or
 without words has no phrases. Equal items count by their distinct ids. Empty tables give no rows or
-no hits. Columns with the names of the added ones are replaced.
+no hits. Very long texts are indexed whole, as shards of their own. Null ids don't matter. Words are compared
+by 64-bit hashes. Columns with the names of the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from typeloom.llm import _text
 from typeloom.llm.fm_index import FMIndex
 
-SHARD_BYTES, BLOCK_CHARS = 4 << 20, 32 << 20
+SHARD_BYTES, BLOCK_CHARS, HELD_BYTES = 4 << 20, 32 << 20, 64 << 20
 ADDED = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -118,23 +120,36 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int
     schema = T.StructType([*kept, *added])
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def task(batches):
+    def words(batches):
+        """Shards (rows, bytes, document offsets, word starts, ends, offsets and hashes) in lists of about HELD_BYTES."""
+        held, size = [], 0
         for batch in batches:
             data, offs = _text.utf8(batch.column("text"))
             for i, j in _text.slices(offs, SHARD_BYTES):
                 own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 starts, ends, woffs = _text.spans(own, at, _text.ALNUM)
-                h = _text.hashes(own, starts, ends)
-                change = np.zeros(len(h) + 1, np.int64)
-                found = [set() for _ in range(j - i)]
-                for block in blocks:
-                    phrases = block.value
+                held.append((batch.slice(i, j - i), at, starts, ends, woffs, _text.hashes(own, starts, ends)))
+                size += len(own)
+                if len(blocks) == 1 or size >= HELD_BYTES:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def task(batches):
+        for held in words(batches):
+            changes = [np.zeros(len(h) + 1, np.int64) for *_, h in held]
+            found = [[set() for _ in range(rest.num_rows)] for rest, *_ in held]
+            for block in blocks:
+                phrases = block.value
+                for k, (_, _, _, _, woffs, h) in enumerate(held):
                     more, doc, item = find(h, woffs, phrases)
-                    change += more
-                    for d, k in zip(doc.tolist(), item.tolist()):
-                        found[d].add(phrases.names[k])
-                    if len(blocks) > 1:  # one block in memory at a time; it is read again from the worker's file
-                        del block._value
+                    changes[k] += more
+                    for d, name in zip(doc.tolist(), item.tolist()):
+                        found[k][d].add(phrases.names[name])
+                if len(blocks) > 1:  # one block in memory at a time; it is read again from the worker's file
+                    del phrases, block._value
+            for (rest, at, starts, ends, woffs, h), change, own_found in zip(held, changes, found):
                 hit = np.cumsum(change)[:-1] > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 first, last = hit.copy(), hit.copy()
@@ -146,7 +161,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int
                 a, b = np.flatnonzero(first), np.flatnonzero(last)
                 base = at[np.searchsorted(woffs, a, "right") - 1]
                 spans = pa.StructArray.from_arrays([pa.array(starts[a] - base), pa.array(ends[b] - base)], ["start", "end"])
-                items = [sorted(x) for x in found]
+                items = [sorted(x) for x in own_found]
                 columns = [
                     pa.array(np.diff(woffs).astype(np.int64)),
                     pa.array((total[woffs[1:]] - total[woffs[:-1]]).astype(np.int64)),
@@ -154,7 +169,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int
                     pa.array(items, pa.list_(pa.string())),
                     pa.ListArray.from_arrays(pa.array(np.searchsorted(a, woffs).astype(np.int32)), spans).cast(pairs),
                 ]
-                rest = batch.slice(i, j - i)
                 own_columns = {n: rest.column(n) for n in names}
                 if cut and len(a):
                     texts = zip(own_columns["text"].to_pylist(), columns[-1].to_pylist())

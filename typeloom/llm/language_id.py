@@ -13,7 +13,8 @@ Prediction reads every text whole, in one pass without a shuffle.
 
 Null texts and texts without any letter are ``und`` with score 0, as is everything if there is
 nothing to learn from; with one language that language has score 1. A null ``doc_id`` isn't held out
-and nothing is learned from it. Repeated rows each get their row. Other columns are passed through by
+and nothing is learned from it. Repeated rows each get their row. Very long texts are read whole; vectors
+are made for ``SLICE_ROWS`` texts at a time, so that many short ones need no more memory. Other columns are passed through by
 :func:`identify`; those with the names of the added ones are replaced.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from typeloom.llm import _text
 
 DIM, SAMPLE, ROUNDS, MARGIN = 4096, 1000, 120, 0.5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 ADDED = "lang_pred string, score double, ambiguous boolean, runner_up string"
 
 
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         model = held.value
         for batch in batches:
             data, offs = _text.utf8(batch.column("text"))
-            for i, j in _text.slices(offs, SLICE_BYTES):
+            for i, j in _text.slices(offs, SLICE_BYTES, SLICE_ROWS):
                 own, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 ascii_ = np.concatenate([[0], np.cumsum((own | 32 >= 97) & (own | 32 <= 122))])
                 some = ascii_[at[1:]] > ascii_[at[:-1]]
