@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,10 +13,38 @@ U = np.uint64
 _P, _SEED = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 _PINV = U(pow(int(_P), -1, 1 << 64))
 #: Bytes that are hashed at once; only the temporaries depend on it.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
+try:  # glibc: arrays of a megabyte or more go back to the system when they are dropped
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 20)
+    _LIBC.malloc_trim
+except (OSError, AttributeError):
+    _LIBC = None
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def releasing(task):
+    """A task over batches that gives its memory back at its end; Python workers outlive tasks."""
+
+    @functools.wraps(task)
+    def run(batches):
+        from typeloom.llm import _text  # the module is not sent along
+
+        yield from task(batches)
+        _text.release()
+
+    return run
+
+
 def _table(keep) -> np.ndarray:
     return np.array([bool(keep(b)) for b in range(256)])
 

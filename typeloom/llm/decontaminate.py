@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from typeloom.llm import _text
 from typeloom.llm.fm_index import FMIndex
 
-SHARD_BYTES, BLOCK_CHARS, HELD_BYTES = 4 << 20, 32 << 20, 64 << 20
+SHARD_BYTES, BLOCK_CHARS, HELD_BYTES = 2 << 20, 32 << 20, 64 << 20
 ADDED = "n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -136,6 +136,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_chars: int
         if held:
             yield held
 
+    @_text.releasing
     def task(batches):
         for held in words(batches):
             changes = [np.zeros(len(h) + 1, np.int64) for *_, h in held]

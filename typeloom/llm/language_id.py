@@ -157,6 +157,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     kept = [f for f in docs.schema if f.name not in added.names]
     names = [f.name for f in kept]
 
+    @_text.releasing
     def task(batches):
         model = held.value
         for batch in batches:

@@ -14,7 +14,8 @@ a leaf may hold up to 5 and up to 50 templates. A line's templates are
 the generalised ones only if ``CONSTANT`` of all tokens are constant, for the leaf's also at least one
 behind the leading ones. The order of lines plays no part, and no leaf is ever collected: counts are
 partial aggregates, a leaf's constants are bounded by its line length, and lines meet them by a join
-that deals hot leaves over many tasks.
+that deals hot leaves over many tasks. Only lines of leaves with several lines and documents are cut into
+tokens; a bit table of fixed size says beforehand which lines may be, the join says which are.
 
 A template whose first and last document differ recurs. Its lines are dropped from every document but
 the first, so that one document still has the line. Keys have 96 bits and decide alone.
@@ -37,47 +38,63 @@ from typeloom.plans.shared import drop_written, written
 from typeloom.plans.skew import hot_keys, spread_join
 
 LEADING, CONSTANT, SHARES = 2, 0.6, (0.2, 0.02)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, MOST_BITS = 1 << 20, 1 << 24
 _K = [int(x) for x in np.random.default_rng(20).integers(1 << 62, 1 << 63, 8)]
 U = np.uint64
 
 
 class Lines:
-    """Lines with tokens of some documents: 96-bit keys of their exact tokens and of those without digits, leaves and tokens."""
+    """Lines with tokens of some documents: their leaves, tokens, and 96-bit keys of those asked for."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         starts, ends, woffs = _text.spans(data, offs, _text.NOT_SPACE)
-        breaks = np.concatenate([[0], np.cumsum(data == 10)])
-        owner = _text.owner(woffs)
-        line = breaks[starts] + owner
-        head = np.flatnonzero(np.concatenate([[len(starts) > 0], line[1:] != line[:-1]]))
-        self.size = np.diff(np.concatenate([head, [len(starts)]]))
-        self.doc = owner[head]
-        self.number = breaks[starts[head]] - breaks[offs[self.doc]]
-        exact = _text.hashes(data, starts, ends, lower=False)
-        digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-        variable = digits[ends] > digits[starts]
-        masked = np.where(variable, U(_K[0]), exact)
-        place = (np.arange(len(exact)) - np.repeat(head, self.size)).astype(U)
-        length = self.size.astype(U) * U(_K[4])
-
-        def keys(h: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
-            out = []
-            for salt in (_K[1], _K[2]):
-                total = np.zeros(len(h) + 1, U)
-                np.cumsum(_text.mix(h + place * U(_K[3]) + U(salt)), dtype=U, out=total[1:])
-                out.append(_text.mix(total[head + upto] - total[head] + length))
-            return out
-
-        self.exact, self.masked = keys(exact, self.size), keys(masked, self.size)
-        constants = self.size - np.add.reduceat(variable, head).astype(np.int64) if len(head) else self.size
-        self.has_masked = (constants < self.size) & (constants >= CONSTANT * self.size)
-        self.has_leaf = (self.size > LEADING + 1) & (constants >= CONSTANT * self.size)
-        self.leaf = _text.mix(keys(masked, np.minimum(self.size, LEADING))[0] + U(_K[5]))
-        self.tokens = np.where(variable, 0, (masked >> U(32)) | U(1)).astype(np.uint32).view(np.int32)
-
-
-def _pair(keys: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        at_break = np.flatnonzero(data == 10)
+        line = np.searchsorted(at_break, starts) + _text.owner(woffs)
+        self.head = np.flatnonzero(np.concatenate([[len(starts) > 0], line[1:] != line[:-1]]))
+        self.size = np.diff(np.concatenate([self.head, [len(starts)]]))
+        self.doc = np.searchsorted(woffs, self.head, "right") - 1
+        self.number = np.searchsorted(at_break, starts[self.head]) - np.searchsorted(at_break, offs[self.doc])
+        self.hash = _text.hashes(data, starts, ends, lower=False)
+        digits = np.flatnonzero((data >= 48) & (data <= 57))
+        self.variable = np.searchsorted(digits, ends) > np.searchsorted(digits, starts)
+        count = np.concatenate([[0], np.cumsum(self.variable)])
+        n_variable = count[self.head + self.size] - count[self.head]
+        enough = self.size - n_variable >= CONSTANT * self.size
+        self.has_masked = (n_variable > 0) & enough
+        self.has_leaf = (self.size > LEADING + 1) & enough
+        self.leaf = _text.mix(self.size.astype(U) * U(_K[4]) + U(_K[5]))
+        for k in range(LEADING):
+            ok = self.size > k
+            token = np.where(self.variable[self.head[ok] + k], U(_K[0]), self.hash[self.head[ok] + k])
+            self.leaf[ok] = _text.mix(self.leaf[ok] ^ token)
+
+    def words(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens of some lines among all tokens, and those lines' offsets."""
+        size = self.size[which]
+        offs = np.concatenate([[0], np.cumsum(size)])
+        return np.arange(offs[-1]) - np.repeat(offs[:-1] - self.head[which], size), offs
+
+    def keys(self, which: np.ndarray, masked: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each of some lines, by their exact tokens or with digits made variable."""
+        at, offs = self.words(which)
+        h = np.where(self.variable[at], U(_K[0]), self.hash[at]) if masked else self.hash[at]
+        place = (at - np.repeat(self.head[which], np.diff(offs))).astype(U)
+        h, total = _text.mix(h + place * U(_K[3])), np.zeros(len(at) + 1, U)
+        out = []
+        for salt in (_K[1], _K[2]):
+            np.cumsum(h, dtype=U, out=total[1:])
+            out.append(_text.mix(total[offs[1:]] - total[offs[:-1]] + self.size[which].astype(U) * U(salt)))
+            h *= h | U(1)
+        return out[0], out[1]
+
+    def tokens(self, which: np.ndarray) -> pa.ListArray:
+        """32-bit tokens of some lines; one with a digit is 0."""
+        at, offs = self.words(which)
+        short = np.where(self.variable[at], U(0), (self.hash[at] >> U(32)) | U(1))
+        return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(short.astype(np.uint32).view(np.int32)))
+
+
+def _pair(keys) -> tuple[pa.Array, pa.Array]:
     return pa.array(keys[0].view(np.int64)), pa.array((keys[1] >> U(32)).astype(np.uint32).view(np.int32))
 
 
@@ -89,26 +106,42 @@ def _each(batches):
             yield Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), o[i:j], rid[i:j]
 
 
+@_text.releasing
 def _keyed(batches):
     """Rows of (k1, k2, leaf, o, rid, line): each line's exact key with its leaf, and its key without digits."""
     for x, o, rid in _each(batches):
-        for keys, has, leaf in ((x.exact, slice(None), x.leaf), (x.masked, x.has_masked, None)):
-            doc = x.doc[has]
-            leaves = pa.array(leaf.view(np.int64), mask=~x.has_leaf) if leaf is not None else pa.nulls(len(doc), pa.int64())
-            columns = [*_pair([k[has] for k in keys]), leaves, pa.array(o[doc]), pa.array(rid[doc]), pa.array(x.number[has].astype(np.int32))]
+        for which, masked in ((np.arange(len(x.size)), False), (np.flatnonzero(x.has_masked), True)):
+            doc = x.doc[which]
+            leaves = pa.nulls(len(doc), pa.int64()) if masked else pa.array(x.leaf.view(np.int64), mask=~x.has_leaf)
+            columns = [*_pair(x.keys(which, masked)), leaves, pa.array(o[doc]), pa.array(rid[doc]), pa.array(x.number[which].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "o", "rid", "line"])
 
 
-def _tokenised(batches):
-    """Rows of (k1, k2, leaf, o, tokens): lines with a leaf; a token with a digit is 0."""
-    for x, o, _ in _each(batches):
-        has = x.has_leaf
-        offs = np.concatenate([[0], np.cumsum(x.size[has])]).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(offs), pa.array(x.tokens[np.repeat(has, x.size)]))
-        columns = [*_pair([k[has] for k in x.exact]), pa.array(x.leaf[has].view(np.int64)), pa.array(o[x.doc[has]]), tokens]
-        yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "o", "tokens"])
+def _tokenised(bits: np.ndarray):
+    """Rows of (k1, k2, leaf, o, tokens): lines whose leaf may be among those of the bit table."""
 
+    @_text.releasing
+    def task(batches):
+        for x, o, _ in _each(batches):
+            spot = x.leaf & U(64 * len(bits) - 1)
+            which = np.flatnonzero(x.has_leaf & ((bits[(spot >> U(6)).astype(np.int64)] >> (spot & U(63))) & U(1) > 0))
+            columns = [*_pair(x.keys(which)), pa.array(x.leaf[which].view(np.int64)), pa.array(o[x.doc[which]]), x.tokens(which)]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "leaf", "o", "tokens"])
 
+    return task
+
+
+def _bit_table(leaves: DataFrame, n: int) -> np.ndarray:
+    """One bit for each leaf, by the low bits of its hash: 16 bits a leaf, ``MOST_BITS`` (2 MB) at most; a long list only fills it."""
+    size = min(MOST_BITS, max(64, 1 << (16 * n - 1).bit_length()))
+    spot = F.col("leaf").bitwiseAND(size - 1)
+    words = leaves.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, cast(leaf & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(U)
+
+
+@_text.releasing
 def _generalised(batches):
     """Rows of (g1, g2, k1, k2, first, last): the templates of a leaf that a line (…, n, tokens, constants) belongs to."""
     for batch in batches:
@@ -147,8 +180,8 @@ def leaf_templates(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """(k1, k2, first) of the exact lines that belong to a recurring template of their leaf; ``lines`` has (k1, k2, leaf, first, last, n)."""
     leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     leaves = written(leaves.where("lines > 1 and first < last").select("leaf", "lines", "n"), "leaves")
-    hot = hot_keys(leaves, ["leaf"])
-    tokens = texts.mapInArrow(_tokenised, "k1 long, k2 int, leaf long, o long, tokens array<int>")
+    hot, n = hot_keys(leaves, ["leaf"]), leaves.count()
+    tokens = texts.mapInArrow(_tokenised(_bit_table(leaves, n)), "k1 long, k2 int, leaf long, o long, tokens array<int>")
     opened = spread_join(tokens, leaves.select("leaf", F.col("lines").alias("n")), ["leaf"], hot, ["k1"])
     opened = opened.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens"))
     opened = written(opened, "open-lines")
@@ -168,7 +201,7 @@ def leaf_templates(texts: DataFrame, lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(o, rid, lines): the numbers of the lines to drop, for each document that has some."""
     texts = docs.where(F.col("text").isNotNull()).select(*_identity(), "text")
-    keyed = texts.mapInArrow(_keyed, "k1 long, k2 int, leaf long, o long, rid long, line int")
+    keyed = written(texts.mapInArrow(_keyed, "k1 long, k2 int, leaf long, o long, rid long, line int"), "keyed")
     lines = keyed.groupBy("k1", "k2").agg(F.min("leaf").alias("leaf"), F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("n"))
     lines = written(lines, "lines")
     own = lines.where("first < last").select("k1", "k2", "first")
@@ -177,7 +210,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     hot = hot_keys(lines, ["k1", "k2"])
     hits = spread_join(keyed.drop("leaf"), recurring, ["k1", "k2"], hot, ["o", "line"]).where("o > first").select("o", "rid", "line")
     out = written(hits.groupBy("o", "rid").agg(F.collect_set("line").alias("lines")), "dropped")
-    for used in (lines, recurring):
+    for used in (keyed, lines, recurring):
         drop_written(used)
     return out
 

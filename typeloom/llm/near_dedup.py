@@ -97,6 +97,7 @@ def bags(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s[at], np.diff(np.concatenate([at, [len(s)]])), doc[at], woffs
 
 
+@_text.releasing
 def _signed(batches):
     """(digest, o, bands, sketch) of (digest, o, text)."""
     for batch in batches:
@@ -121,6 +122,7 @@ def _signed(batches):
             )
 
 
+@_text.releasing
 def _similar(batches):
     """(a, b, similarity) of (a, b, text_a, text_b): the exact weighted Jaccard similarity."""
     for batch in batches:
@@ -143,6 +145,7 @@ def _similar(batches):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both / np.maximum(total - both, 1))], ["a", "b", "similarity"])
 
 
+@_text.releasing
 def _agreeing(batches):
     """Pairs (a, b) whose sketches agree in ``LEAST`` of the places or more."""
     for batch in batches:
@@ -159,6 +162,7 @@ def _linked_blocks(similarity: float):
         component = np.frombuffer(b"".join(flat.field(1).to_pylist()), "V16")
         return flat.field(0).to_pylist(), component, bags(*_text.utf8(flat.field(2)))[:3]
 
+    @_text.releasing
     def task(batches):
         for batch in batches:
             for k in range(batch.num_rows):

@@ -100,6 +100,7 @@ def plan(counts: dict[int, int], size: int) -> np.ndarray:
 def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
     """A row for each piece, numbered within its task and length."""
 
+    @_text.releasing
     def cut(batches):
         enc, part, seen = _tokens.pieces(path), TaskContext.get().partitionId(), {}
         tail, width = enc.pack([end_id]), enc.kind.itemsize
