@@ -14,7 +14,7 @@ def test_long_chain_is_one_component(spark):
 
 
 def test_hub_is_dealt(spark, monkeypatch):
-    monkeypatch.setattr(skew, "FLOOR", 10)
+    monkeypatch.setattr(skew, "LIGHT_FLOOR", 10)
     hub = spark.range(1, 200).select(F.lit(500).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(900, 901)], "a long, b long"))
     out = {r.node: r.component for r in connected_components(hub).collect()}
     assert out == {k: 1 for k in [*range(1, 200), 500]} | {900: 900, 901: 900}

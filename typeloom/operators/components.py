@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.plans.shared import drop_written, written
+from typeloom.plans import skew
+from typeloom.plans.shared import drop_written, free_shuffles, written
 from typeloom.plans.skew import hot_keys, spread_join
 
 
@@ -17,25 +18,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     written to the shared folder, and the loop goes on until they stop changing.
     """
     now = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
-    mark = None
+    mark, n = None, now.count()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # every greater neighbour of u moves to u's least neighbour
-        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = _starred(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # every lesser neighbour of u, and u itself, moves to the least of them
-        small = _starred(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _starred(large, n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         after = written(small.where("u <> v").distinct(), "edges")
         found = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_written(now)
-        now = after
+        now, n = after, found[0]
         if found == mark:
             break
         mark = found
+    free_shuffles(now.sparkSession)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _starred(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with m, the least v of u."""
+def _starred(pairs: DataFrame, n: int) -> DataFrame:
+    """``pairs`` (u, v), 2 n at most, with m, the least v of u."""
     low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return spread_join(pairs, low.drop("n"), ["u"], hot_keys(low, ["u"]), ["v"])
+    hot = hot_keys(low, ["u"], skew.LIGHT_FLOOR) if 2 * n > skew.LIGHT_FLOOR else []
+    return spread_join(pairs, low.drop("n"), ["u"], hot, ["v"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are no longer in use.
+
+    It does so when the driver's JVM finds them unreachable, which may be long after a loop of many joins.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table from :func:`written` that nothing reads any more."""
     path = getattr(df, "_typeloom_path", None)

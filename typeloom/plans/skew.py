@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it has more than 1/SHARE of all rows, so there are fewer than SHARE hot keys.
-SHARE, FLOOR, SALTS = 4096, 256, 64
+#: A key is hot if it has more than 1/SHARE of all rows, so there are fewer than SHARE hot keys; a key of fewer
+#: than FLOOR rows (LIGHT_FLOOR where rows hold a few numbers) is no burden to a task.
+SHARE, FLOOR, LIGHT_FLOOR, SALTS = 4096, 256, 100_000, 64
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> list[tuple]:
+def hot_keys(counts: DataFrame, keys: list[str], floor: int | None = None) -> list[tuple]:
     """The hot keys of a table of row counts (keys, n): fewer than ``SHARE`` of them, whatever the table's size."""
-    total, most = counts.agg(F.sum(n), F.max(n)).first()
-    least = max(FLOOR, (total or 0) / SHARE)
-    return [tuple(r) for r in counts.where(F.col(n) > least).select(*keys).collect()] if (most or 0) > least else []
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max(FLOOR if floor is None else floor, (total or 0) / SHARE)
+    return [tuple(r) for r in counts.where(F.col("n") > least).select(*keys).collect()] if (most or 0) > least else []
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: list[tuple], by: list[str], how: str = "inner") -> DataFrame:
