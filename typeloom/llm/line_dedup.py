@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import _text
 from typeloom.plans.shared import drop_written, written
-from typeloom.plans.skew import hot_keys, spread_join
+from typeloom.plans.skew import LIGHT_FLOOR, hot_keys, spread_join
 
 LEADING, CONSTANT, SHARES = 2, 0.6, (0.2, 0.02)
 SLICE_BYTES, MOST_BITS = 1 << 20, 1 << 24
@@ -195,7 +195,7 @@ def leaf_templates(texts: DataFrame, lines: DataFrame) -> DataFrame:
     general = written(general, "leaf-templates")
     found = general.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
     found = written(found, "recurring-leaf-templates")
-    return spread_join(general.select("g1", "g2", "k1", "k2"), found.select("g1", "g2", "a"), ["g1", "g2"], hot_keys(found, ["g1", "g2"]), ["k1"]).select("k1", "k2", F.col("a").alias("first"))
+    return spread_join(general.select("g1", "g2", "k1", "k2"), found.select("g1", "g2", "a"), ["g1", "g2"], hot_keys(found, ["g1", "g2"], LIGHT_FLOOR), ["k1"]).select("k1", "k2", F.col("a").alias("first"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     own = lines.where("first < last").select("k1", "k2", "first")
     recurring = own.unionByName(leaf_templates(texts, lines)).groupBy("k1", "k2").agg(F.min("first").alias("first"))
     recurring = written(recurring, "templates")
-    hot = hot_keys(lines, ["k1", "k2"])
+    hot = hot_keys(lines, ["k1", "k2"], LIGHT_FLOOR)
     hits = spread_join(keyed.drop("leaf"), recurring, ["k1", "k2"], hot, ["o", "line"]).where("o > first").select("o", "rid", "line")
     out = written(hits.groupBy("o", "rid").agg(F.collect_set("line").alias("lines")), "dropped")
     for used in (keyed, lines, recurring):

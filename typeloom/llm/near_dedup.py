@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from typeloom.llm import _text
 from typeloom.operators.components import connected_components
-from typeloom.plans.shared import drop_written, written
+from typeloom.plans.shared import drop_written, free_shuffles, written
 from typeloom.plans.skew import hot_keys, spread_join
 
 WORDS, SIMILARITY = 5, 0.8
@@ -226,7 +226,7 @@ class _Graph:
     def verify(self, pairs: DataFrame) -> int:
         """Compare candidate pairs (a, b), a written table; how many new links there are."""
         each = pairs.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
-        hot = hot_keys(written(each, "pair-counts"), ["digest"])
+        hot = hot_keys(each, ["digest"])
         sketches = self.nodes.select("digest", "sketch")
         for side, other in (("a", "b"), ("b", "a")):
             pairs = spread_join(pairs, sketches.withColumnsRenamed({"digest": side, "sketch": f"sketch_{side}"}), [side], hot, [other])
@@ -272,6 +272,7 @@ class _Graph:
             pairs = met.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("digest").alias("a"), "b")
             found = self.verify(self.fresh(pairs))
             drop_written(left)
+            free_shuffles(left.sparkSession)
             if not found:
                 break
         found = self.search(self.labelled())
