@@ -17,9 +17,9 @@ CHUNK = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
-try:  # glibc: arrays of a megabyte or more go back to the system when they are dropped
+try:  # glibc: arrays of four megabytes or more go back to the system when they are dropped
     _LIBC = ctypes.CDLL("libc.so.6")
-    _LIBC.mallopt(-3, 1 << 20)
+    _LIBC.mallopt(-3, 4 << 20)
     _LIBC.malloc_trim
 except (OSError, AttributeError):
     _LIBC = None

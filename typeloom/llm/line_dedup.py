@@ -143,31 +143,45 @@ def _bit_table(leaves: DataFrame, n: int) -> np.ndarray:
 
 @_text.releasing
 def _generalised(batches):
-    """Rows of (g1, g2, k1, k2, first, last): the templates of a leaf that a line (…, n, tokens, constants) belongs to."""
+    """Rows of (g1, g2, k1, k2, first, last): the templates of its leaf that a line (…, n, tokens, constants) belongs to."""
+    names = ("k1", "k2", "first", "last")
     for batch in batches:
-        rows, kept = [], {c: batch.column(c) for c in ("k1", "k2", "first", "last")}
-        for r in range(batch.num_rows):
-            tokens = batch.column("tokens")[r].values.to_numpy(zero_copy_only=False)
-            known = batch.column("constants")[r].values
-            spot, count = (known.field(c).to_numpy(zero_copy_only=False) for c in ("spot", "c"))
-            n, size = batch.column("n")[r].as_py(), len(tokens)
-            leaf = U(batch.column("leaf")[r].as_py() & (1 << 64) - 1)
-            own = (np.arange(size, dtype=np.int64) << 32) | (tokens.view(np.uint32).astype(np.int64))
-            seen = set()
-            for share in SHARES:
-                constant = np.isin(own, spot[count >= share * n])
-                constant[:LEADING] = tokens[:LEADING] != 0
-                many = int(constant.sum())
-                if many < CONSTANT * size or many <= int(constant[:LEADING].sum()) or many == int((tokens != 0).sum()):
-                    continue
-                h = np.where(constant, own.view(U), U(0)) + np.arange(size).astype(U) * U(_K[3])
-                key = tuple(int(_text.mix(np.sum(_text.mix(h + U(s)), dtype=U, keepdims=True) + leaf)[0]) for s in (_K[6], _K[7]))
-                if key not in seen:
-                    seen.add(key)
-                    rows.append((r, *key))
-        at = pa.array([r for r, _, _ in rows], pa.int64())
-        keys = _pair([np.array([x[k] for x in rows], U) for k in (1, 2)])
-        yield pa.RecordBatch.from_arrays([*keys, *(kept[c].take(at) for c in kept)], ["g1", "g2", *kept])
+        lists, known = batch.column("tokens"), batch.column("constants")
+        leaf, n = batch.column("leaf").to_numpy().view(U), batch.column("n").to_numpy()
+        size, many_known = (np.diff(x.offsets.to_numpy()) for x in (lists, known))
+        row, offs = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(len(row)) - np.repeat(offs[:-1], size)
+        token = lists.flatten().to_numpy().view(np.uint32).astype(U)
+        spot = place.astype(U) << U(32) | token
+        # a leaf's constants stand beside each of its lines; one hash of leaf and place finds them
+        seed = _text.mix(leaf + U(_K[5]))
+        flat = known.flatten()
+        key = _text.mix(flat.field(0).to_numpy().view(U) ^ np.repeat(seed, many_known))
+        key, first = np.unique(key, return_index=True)
+        count = flat.field(1).to_numpy()[first]
+        own = _text.mix(spot ^ np.repeat(seed, size))
+        at = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+        times = np.where(key[at] == own, count[at], 0) if len(key) else np.zeros(len(own), np.int64)
+        fixed, leading = token != 0, place < LEADING
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offs])
+        texts, heads = sums(fixed), sums(fixed & leading)
+        done: list[np.ndarray] = []
+        for share in SHARES:
+            constant = fixed & (leading | (times >= share * n[row]))
+            left = sums(constant)
+            ok = (left >= CONSTANT * size) & (left > heads) & (left < texts)
+            h = _text.mix(np.where(constant, spot, U(0)) + place.astype(U) * U(_K[3]))
+            keys = []
+            for salt in (_K[6], _K[7]):
+                total = np.concatenate([np.zeros(1, U), np.cumsum(h, dtype=U)])[offs]
+                keys.append(_text.mix(np.diff(total) + leaf + U(salt)))
+                h = h * (h | U(1))
+            for before in done:  # both shares may give one template
+                ok &= before != keys[0]
+            done.append(keys[0])
+            which = np.flatnonzero(ok)
+            columns = [*_pair([k[which] for k in keys]), *(batch.column(c).take(pa.array(which)) for c in names)]
+            yield pa.RecordBatch.from_arrays(columns, ["g1", "g2", *names])
 
 
 def _identity() -> list[Column]:
@@ -223,8 +237,9 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*names, o.alias("__ko"), rid.alias("__kr"))
     joined = keyed.join(drops, (F.col("__ko") == F.col("__o")) & (F.col("__kr") == F.col("__rid")), "left")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__lines")  # by a hash set, in order
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    left = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "__lines")  # noqa: E731 - by a hash set, in order
+    # the lines are the element of an array of one, so that no lambda splits the text anew
+    kept = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(left(own), lambda i: F.get(own, i)), "\n")), 0)
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).alias("n_dropped"))
 
