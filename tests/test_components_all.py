@@ -33,7 +33,7 @@ def test_components_of_a_small_base(spark):
     rows += [("r/n51.md", "r", "n52", None, "body", 0, "c0ffee"), ("r/n53.md", "r", "gone", None, "body", 0, None), ("r/n54.md", "r", "../n55", None, "body", 0, None)]  # none resolves
     links = spark.createDataFrame(rows, "src string, repo string, target string, slot string, surface string, pos long, pin string")
     want = brute([f"r/{s}.md" for s in stems], [(f"r/{a}.md", f"r/{b}.md") for a, b in pairs])
-    assert {r.path: r.component for r in registry.weak_components_all(links, files).collect()} == want
+    assert {r.path: r.component for r in registry.weak_components(links, files).collect()} == want
     assert len(set(want.values())) > 10
 
 
@@ -44,6 +44,6 @@ def test_registered_components_cover_every_file(spark):
     kb = knowledge_base(spark, SF, "kb_links", "kb_files")
     paths = [r.path for r in kb["kb_files"].select("path").distinct().collect()]
     pairs = [(r.src, r.dst) for r in G.edges(kb["kb_links"], kb["kb_files"]).select("src", "dst").distinct().collect()]
-    out = registry.queries()["weak_components_all"](spark, SF)
+    out = registry.queries()["weak_components"](spark, SF)
     assert {r.path: r.component for r in out.collect()} == brute(paths, pairs)
     assert out.where(F.col("path").contains("/part/")).count() > 0

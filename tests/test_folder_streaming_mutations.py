@@ -51,7 +51,7 @@ def test_closure_ids_and_meta():
 
 
 def test_mutations(spark):
-    files = spark.createDataFrame([("a.md", "one [[b]] two [[B#x]] [[b@c0ffee]] [[bb]]"), ("b.md", "x x")], "path string, text string")
+    files = spark.createDataFrame([("a.md", "one [[b]] two [[B#x]] [[b@c0ffee]] [[b::r@c0ffee]] [[bb]]"), ("b.md", "x x")], "path string, text string")
     text = lambda df, p: df.where(F.col("path") == p).first().text
     assert text(M.edit_file(files, "a.md", "two", "2"), "a.md").startswith("one [[b]] 2")
     with pytest.raises(M.EditRefused):
@@ -62,7 +62,7 @@ def test_mutations(spark):
     assert M.delete_file(files, "b.md").count() == 1
     moves = spark.createDataFrame([("b.md", "c.md", "b", "c")], "old_path string, new_path string, old_stem string, new_stem string")
     moved = M.rename(files, moves)
-    assert text(moved, "a.md") == "one [[c]] two [[c#x]] [[b@c0ffee]] [[bb]]" and text(moved, "c.md") == "x x"
+    assert text(moved, "a.md") == "one [[c]] two [[c#x]] [[b@c0ffee]] [[b::r@c0ffee]] [[bb]]" and text(moved, "c.md") == "x x"
     assert M.assign_block_id("a\nb", 1, "z") == "a\nb ^z" and M.assign_block_id("a ^q", 0, "z") == "a ^q"
     assert M.ensure_mixin(["vip"], "party", {"vip": {"vip", "party"}}) == ["vip"] and M.ensure_mixin(["x"], "m", {}) == ["x", "m"]
     if markdown.yaml:
@@ -83,6 +83,11 @@ def test_streams(spark, tmp_path):
     S.run_available(stream, table.apply, str(tmp_path / "cp"))
     assert {tuple(r) for r in table.delta(first, table.version).collect()} == {("b", "removed"), ("c", "added")}
     again = table.version
+    assert S.VersionedTable(spark, str(tmp_path / "state")).version == again > first  # another process goes on from here
+    (tmp_path / "state" / f"v{again + 5}").mkdir()  # written in part, never committed
+    table = S.VersionedTable(spark, str(tmp_path / "state"))
+    table.apply(spark.createDataFrame([("d", 4, "v")], "key string, ts int, mark string"), again)  # the batch again
+    assert table.version == again and {tuple(r) for r in table.read().collect()} == {("a", "z"), ("c", "w")}
     table.apply(spark.createDataFrame([("c", 4, "w")], "key string, ts int, mark string"), again + 1)
     assert table.version == again  # nothing changed
 

@@ -36,6 +36,7 @@ def test_links(spark):
     df = spark.createDataFrame([("[[a b::repo@c0ffee#Top^^b1:f]]",), ("[[x]]",), ("no",), ("[[]]",)], "t string")
     out = [r[0] for r in df.select(X.parse_link(F.col("t"))).collect()]
     assert out[0].asDict() == {"target": "a b", "repo": "repo", "pin": "c0ffee", "anchor": "Top", "mode": "^^", "block": "b1", "field": "f"}
+    assert df.select(X.parse_link(F.lit("[[a@b#c: d]]"))).first()[0].asDict() == {"target": "a@b", "repo": "", "pin": "", "anchor": "c: d", "mode": "", "block": "", "field": ""}
     assert out[1].target == "x" and out[2] is None and out[3] is None
 
 

@@ -8,8 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: target[::repo][@commit][#anchor][^block or ^^block][:field], in that order
-LINK = r"\[\[([^\]\[:@#^]+)(?:::([^\]\[:@#^]+))?(?:@([0-9a-f]+))?(?:#([^\]\[^:]+))?(?:(\^\^?)([A-Za-z0-9_-]+))?(?::([A-Za-z_][A-Za-z0-9_]*))?\]\]"
+#: target[::repo[@commit]][#anchor][^block or ^^block][:field], in that order. An @ without a repo is part of
+#: the target, and a : behind an anchor is part of the heading: only a block or a bare target has a field.
+LINK = r"\[\[([^\]\[:#^]+)(?:::([^\]\[:@#^]+)(?:@([0-9a-f]+))?)?(?:#([^\]\[^]+))?(?:(\^\^?)([A-Za-z0-9_-]+))?(?::([A-Za-z_][A-Za-z0-9_]*))?\]\]"
 PARTS = ("target", "repo", "pin", "anchor", "mode", "block", "field")
 
 
@@ -28,11 +29,6 @@ def links_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(LINK), 0), parse_link)
 
 
-def first_links(notes: DataFrame) -> DataFrame:
-    first = F.get(links_in(F.col("body")), 0)
-    return notes.select("path", *[F.coalesce(first[n], F.lit("")).alias(n) for n in ("target", "anchor", "block")])
-
-
 def all_links(notes: DataFrame) -> DataFrame:
     """(path, pos, and all parts): every link of every note, in order of appearance."""
     return notes.select("path", F.posexplode(links_in(F.col("body"))).alias("pos", "link")).select("path", "pos", *[F.col("link")[n].alias(n) for n in PARTS])
@@ -62,6 +58,18 @@ def line_column(text: Column, byte: Column) -> Column:
     return F.struct(line.alias("line"), (F.octet_length(last) + 1).alias("column"))
 
 
+def malformed_links(notes: DataFrame) -> DataFrame:
+    """(path, pos, text): double brackets on one line that are no well-formed link."""
+    found = F.regexp_extract_all("body", F.lit(r"\[\[[^\]\[\n]*\]\]"), 0)
+    return notes.select("path", F.posexplode(found).alias("pos", "text")).where(~F.col("text").rlike(f"^{LINK}$"))
+
+
+def open_fences(notes: DataFrame) -> DataFrame:
+    """(path, line) of a fence that is never closed: the last of an odd number of fence lines."""
+    lines = notes.select("path", F.posexplode(F.split("body", "\n")).alias("line", "l")).where(F.col("l").rlike("^```"))
+    return lines.groupBy("path").agg(F.count("*").alias("n"), F.max("line").cast("long").alias("line")).where("n % 2 = 1").select("path", "line")
+
+
 def fnv1a(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """FNV-1a 64 of each slice, all slices at once: step k mixes byte k of every slice that has one."""
     size = np.diff(offs)

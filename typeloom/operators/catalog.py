@@ -62,6 +62,11 @@ def recent_commits(commits: DataFrame, limit: int) -> DataFrame:
     return commits.orderBy(F.desc("day"), "commit_id").limit(limit)
 
 
+def commits_since(commits: DataFrame, day: str) -> DataFrame:
+    """(commit_id, day, subject) after a day: an append-only read, so a stream of commits takes it as it is."""
+    return commits.where(F.col("day") > day).select("commit_id", "day", "subject")
+
+
 def file_history(commits: DataFrame, changed: DataFrame) -> DataFrame:
     """(path, commit_id, day, status, place): commits of each file, newest first."""
     order = Window.partitionBy("path").orderBy(F.desc("day"), "commit_id", "status")

@@ -45,3 +45,8 @@ def reusable(parsed: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of files (path, hash): those whose stored parse still holds, and those to parse again."""
     keys = parsed.select("path", "hash")
     return now.join(keys, ["path", "hash"], "left_semi"), now.join(keys, ["path", "hash"], "left_anti")
+
+
+def classify_dirty(dirty: DataFrame) -> DataFrame:
+    """(path, how): type definitions and repo manifests ask for a full pass, everything else for an incremental one."""
+    return dirty.select("path", F.when(F.col("path").rlike(r"(\.type\.ya?ml|(^|/)repo\.yaml)$"), "full").otherwise("incremental").alias("how"))

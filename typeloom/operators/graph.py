@@ -20,7 +20,7 @@ def escapes(target: Column) -> Column:
     """An absolute target, or one that climbs above the root, can never resolve."""
     step = lambda acc, s: F.struct((acc["at"] + F.when(s == "..", -1).when(s.isin("", "."), 0).otherwise(1)).alias("at"), F.least(acc["low"], acc["at"] + F.when(s == "..", -1).otherwise(0)).alias("low"))
     low = F.aggregate(F.split(target, "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), step, lambda acc: acc["low"])
-    return target.startswith("/") | (low < 0)
+    return target.startswith("/") | (target.contains("/") & (low < 0))
 
 
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """
     targets = links.where("pin is null").select("target").distinct()
     targets = targets.withColumn("out", escapes(F.col("target"))).withColumn("key", F.when(F.col("target").contains("/"), F.col("target")).otherwise(F.lower("target")))
-    hits = targets.where("not out").join(file_keys(files), "key").groupBy("target", "rank").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
+    hits = targets.where("not out").join(file_keys(files), "key").where("rank > 0 or contains(target, '/')").groupBy("target", "rank").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
     best = hits.groupBy("target").agg(F.min(F.struct("rank", "n", "path")).alias("b"))
     known = targets.join(best, "target", "left").select(
         "target",
@@ -47,15 +47,20 @@ def edges(links: DataFrame, files: DataFrame) -> DataFrame:
     return resolve_links(links, files).where("outcome = 'resolved'").select("src", "dst", "slot", "surface")
 
 
+def edge_kind() -> Column:
+    """field in the front matter, contributing in a body with a slot, else navigational."""
+    return F.when(F.col("surface") == "frontmatter", "field").when((F.col("surface") == "body") & F.col("slot").isNotNull(), "contributing").otherwise("navigational")
+
+
 def references_out(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Every outgoing link with kind: pinned, broken, field (slot) or navigational."""
-    kind = F.when(F.col("outcome") == "pinned", "pin").when(F.col("outcome") != "resolved", "broken").when(F.col("slot").isNotNull(), "field").otherwise("navigational")
+    """Every outgoing link with kind: pin, broken, or its :func:`edge_kind`."""
+    kind = F.when(F.col("outcome") == "pinned", "pin").when(F.col("outcome") != "resolved", "broken").otherwise(edge_kind())
     return resolve_links(links, files).select("src", "target", "dst", kind.alias("kind"))
 
 
 def references_in(links: DataFrame, files: DataFrame) -> DataFrame:
     """Inbound counts by kind for each file that has any."""
-    return edges(links, files).groupBy("dst").agg(F.count_if(F.col("slot").isNotNull()).alias("field"), F.count_if(F.col("slot").isNull()).alias("navigational"))
+    return edges(links, files).groupBy("dst").agg(*[F.count_if(edge_kind() == k).alias(k) for k in ("field", "contributing", "navigational")])
 
 
 def hubs(links: DataFrame, files: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -67,9 +72,9 @@ def hubs(links: DataFrame, files: DataFrame, limit: int | None = None, offset: i
 
 
 def link_graph(links: DataFrame, files: DataFrame) -> DataFrame:
-    """Nodes with their in- and out-degrees."""
-    own = edges(links, files)
-    half = own.select(F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(own.select(F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    """Nodes with their in- and out-degrees; each edge gives both its ends in one pass."""
+    ends = F.array(F.struct(F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("path"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    half = edges(links, files).select(F.explode(ends).alias("e")).select("e.*")
     sums = half.groupBy("path").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     return files.select("path", "kind").join(sums, "path", "left").select("path", "kind", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 

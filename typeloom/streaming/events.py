@@ -28,11 +28,22 @@ class VersionedTable:
     """Snapshots (key, mark) under a folder; a version is made only if something changed.
 
     ``apply`` is a ``foreachBatch`` function: it upserts the batch's (key, mark) rows, a null mark removes
-    the key. A version's number is its batch, so a batch that is run again changes nothing.
+    the key. A version's number is its batch, so a batch that is run again changes nothing. A version counts
+    once its marker is there; after a restart the table goes on from the last that counts.
     """
 
     def __init__(self, spark, folder: str):
-        self.spark, self.folder, self.version = spark, folder, -1
+        self.spark, self.folder = spark, folder
+        self.version = max(self.versions(), default=-1)
+
+    def _path(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Versions with a marker, in order."""
+        at, fs = self._path("v*.committed")
+        return sorted(int(f.getPath().getName()[1:].removesuffix(".committed")) for f in fs.globStatus(at) or [])
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version if version is None else version
@@ -49,6 +60,8 @@ class VersionedTable:
         if changes(before, after).isEmpty():
             return
         after.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+        at, fs = self._path(f"v{batch_id}.committed")
+        fs.create(at, True).close()
         self.version = batch_id
 
     def delta(self, old: int, new: int) -> DataFrame:
