@@ -84,6 +84,14 @@ DERIVED: dict[str, str] = {
         union all select event_id, event_type, 'customer' from {events} where event_id % 5 = 1
         union all select event_id, event_type, 'items' from {events} where event_id % 10 = 1
         union all select event_id, event_type, 'region' from {events} where event_id % 11 = 0) r""",
+    # whole files as text, for the parser; some on purpose wrong
+    "kb_markdown": """select 'c/customer-' || cast(c_custkey as string) || '.md' as path, c_custkey as k, c_nationkey as nation, c_mktsegment as segment,
+        '---' || chr(10) || 'type: ' || case when c_custkey % 5 = 0 then '[customer, audited]' else 'customer' end || chr(10) || 'key: ' || cast(c_custkey as string) || chr(10)
+        || case when c_custkey % 11 = 0 then '' else 'segment: ' || c_mktsegment || chr(10) end || case when c_custkey % 13 = 0 then 'key: 0' || chr(10) else '' end
+        || case when c_custkey % 17 = 0 then 'bad: [1, 2' || chr(10) else '' end || 'nation: "[[nation-' || cast(c_nationkey as string) || ']]"' || chr(10) || 'box:' || chr(10) || '  type: inner' || chr(10) || '  ^: b' || cast(c_custkey % 10 as string) || chr(10)
+        || case when c_custkey % 19 = 0 then '' else '---' || chr(10) end || '# Customer' || chr(10) || 'See [[nation-' || cast(c_nationkey as string) || '#Top]], not `[[masked]]`' || chr(10) || '```yaml [:note]' || chr(10) || '[[hidden]]' || chr(10) || '```' || chr(10) || '^f1' || chr(10) || '## Sub ^s1' || chr(10) || 'end ^m1'
+        || case when c_custkey % 23 = 0 then chr(10) || '```' || chr(10) || 'open' else '' end as text from {customer}""",
+    "kb_type_files": "select * from (values ('type/base.type.yaml', 'abstract: true\nfields:\n  key: Number\n  label?: String\n'), ('type/customer.type.yaml', 'extends: base\nfields:\n  segment: String\n  nation: nation*\n'), ('type/audited.type.yaml', 'extends: [base, ghost]\nsealed: [customer]\nfields: {}\n')) as t(path, text)",
     # several definitions of one name, metas, brands, compound slots, definition files: constants
     "kb_defs": "select name, owner, '' as extra, is_abstract, is_sealed from {kb_types} union all select * from (values ('part', 'ext', 'other', false, false), ('region', 'ext', '', false, false), ('both', 'ext', '', true, true)) as t(name, owner, extra, is_abstract, is_sealed)",
     "kb_metas": "select * from (values ('entity', 'audited'), ('part', 'audited'), ('part', 'audited'), ('order', 'nowhere'), ('nation', 'line')) as t(type, meta)",

@@ -76,6 +76,16 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def parse_texts(texts: DataFrame) -> DataFrame:
+    """One parsed row for each (path, text)."""
+    return parse(texts.select("path", F.col("text").cast("binary").alias("content")))
+
+
+def field_values(instances: DataFrame) -> DataFrame:
+    """(path, field, value): top-level fields of instances (path, fields), values as text or JSON."""
+    return instances.select("path", F.explode(F.from_json("fields", "map<string,string>")).alias("field", "value"))
+
+
 def type_vocabulary(defs: DataFrame) -> dict[str, DataFrame]:
     """types, parents, sealed and fields of type definitions, natively from their JSON."""
     one = F.from_json("fields", "extends string, sealed array<string>, abstract boolean, fields map<string,string>")
