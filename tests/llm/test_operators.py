@@ -448,3 +448,20 @@ def test_stages_keep_the_columns(spark, edges):
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert hashlib.sha256(b"").hexdigest()  # texts without words are gone by now
     assert docs.where("text is null or n_chars <> length(text)").count() == 0
+
+
+def test_recall_of_near_duplicates(spark):
+    """All documents against every row whose id is divisible by 50: each pair of similarity 0.8 or more shares a class."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    found = {r.doc_id: r.class_id for r in near_dedup.op4_bagminhash(spark, "/root/testdata/sf0.01").collect()}
+    bags = {k: brute.bag(t) for k, t in docs}
+    pairs = caught = 0
+    for q in (k for k, _ in docs if k % 50 == 0):
+        for k, x in bags.items():
+            y = bags[q]
+            if k != q and x and y and min(sum(x.values()), sum(y.values())) >= 0.8 * max(sum(x.values()), sum(y.values())):
+                both = sum((x & y).values())
+                if both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
+                    pairs, caught = pairs + 1, caught + (found[q] == found[k])
+    assert pairs and caught >= 0.9 * pairs
+    print(f"recall {caught} of {pairs}")

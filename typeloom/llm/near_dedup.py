@@ -208,15 +208,16 @@ class _Graph:
         self.similarity = similarity
         texts = _identity(docs)
         self.signed = written(texts.mapInArrow(_signed, "digest binary, o long, bands array<long>, sketch binary"), "signatures")
-        nodes = self.signed.groupBy("digest").agg(F.min("o").alias("o"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+        nodes = self.signed.groupBy("digest").agg(F.min("o").alias("o"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.count("*").alias("n"))
         self.nodes = written(nodes, "nodes")
         bucket = self.nodes.where(F.col("bands").isNotNull()).select("digest", F.explode("bands").alias("key"))
         lead = written(bucket.groupBy("key").agg(F.min("digest").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
         self.hot = hot_keys(lead, ["key"])
         self.members = written(self.spread(bucket, lead.select("key", "lead")), "buckets")
         drop_written(lead)
-        inside = self.members.select("digest").distinct().join(self.nodes.select("digest", "o"), "digest")
-        self.texts = written(texts.join(inside, ["digest", "o"]).groupBy("digest").agg(F.any_value("text").alias("text")), "texts")
+        # equal texts are combined before the shuffle, so a group of copies is a row a task
+        own = texts.groupBy("digest").agg(F.any_value("text").alias("text"))
+        self.texts = written(own.join(self.members.select("digest").distinct(), "digest", "left_semi"), "texts")
         self.links = self.tried = None
 
     def spread(self, rows: DataFrame, by_key: DataFrame) -> DataFrame:
@@ -305,7 +306,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     linked = named.join(first, "component").select("digest", "first")
     alone = graph.nodes.select("digest", F.col("o").alias("no"))
     each = alone.join(linked, "digest", "left").select("digest", F.coalesce("first", F.struct(F.col("no").alias("o"), "digest")).alias("first"))
-    return graph.signed.select("digest", "o").join(each, "digest").select("digest", "o", F.col("first.o").alias("class_o"), F.col("first.digest").alias("class_digest"))
+    copies = hot_keys(graph.nodes.select("digest", "n"), ["digest"])
+    return spread_join(graph.signed.select("digest", "o"), each, ["digest"], copies, ["o"]).select("digest", "o", F.col("first.o").alias("class_o"), F.col("first.digest").alias("class_digest"))
 
 
 def _doc_id(name: str):
