@@ -605,4 +605,4 @@ def content_hash(documents):
     return X.content_hashes(documents.select("doc_id", "text"))
 
 
-from typeloom.plans import files, more  # noqa: E402, F401 - they register their queries here
+from typeloom.plans import files, more, workspace  # noqa: E402, F401 - they register their queries here

@@ -107,6 +107,28 @@ DERIVED: dict[str, str] = {
     "kb_moves": "select 'n' || cast(o_custkey as string) as old, 'n' || cast((o_custkey * 7 + o_orderkey) % 1009 as string) as new, o_orderkey as seq from {orders} where o_orderkey % 3 = 0",
     "kb_commits": "select o_orderkey as commit_id, cast(cast(o_orderdate as date) as string) as day, o_custkey as author, 'Change ' || cast(o_orderkey as string) as subject, case when o_orderkey % 4 = 0 then 'Reviewed-by: clerk ' || cast(o_custkey % 7 as string) else o_orderpriority end as trailer from {orders}",
     "kb_commit_files": "select l_orderkey as commit_id, 'part/' || cast(l_partkey as string) || '.md' as path, case when l_linenumber = 1 then 'A' when l_returnflag = 'R' then 'D' else 'M' end as status from {lineitem}",
+    # a workspace: roles that repos are claimed in, places where they lie, dependencies; constants, some contradictory
+    "kb_member_claims": "select * from (values ('AFRICA', 'entry'), ('AFRICA', 'dep'), ('AMERICA', 'edit'), ('AMERICA', 'discover'), ('ASIA', 'discover'), ('ASIA', 'dep'), ('EUROPE', 'edit'), ('MIDDLE EAST', 'dep'), ('ATLANTIS', 'edit'), ('LEMURIA', 'discover')) as t(repo, role)",
+    "kb_places": "select * from (values ('AFRICA', 'sibling', '/w/africa'), ('AFRICA', 'cache', '/c/africa'), ('AMERICA', 'registry', '/r/america'), ('AMERICA', 'registry', '/r/america-old'), ('ASIA', 'cache', '/c/asia'), ('ASIA', 'registry', '/r/asia'), ('EUROPE', 'cache', '/c/europe'), ('MIDDLE EAST', 'cache', '/c/middle-east')) as t(repo, place, root)",
+    "kb_disabled": "select * from (values ('LEMURIA'), ('MU')) as t(repo)",
+    "kb_pinned": "select * from (values ('EUROPE'), ('MIDDLE EAST')) as t(repo)",
+    "kb_repo_deps": "select * from (values ('AFRICA', 'AMERICA'), ('AFRICA', 'ATLANTIS'), ('AMERICA', 'EUROPE'), ('EUROPE', 'MIDDLE EAST'), ('MIDDLE EAST', 'EUROPE'), ('ASIA', 'MU'), ('ASIA', 'MIDDLE EAST'), ('ATLANTIS', 'ASIA')) as t(repo, dep)",
+    "kb_readmes": "select repo, path, kind from {kb_files} union all select * from (values ('AFRICA', 'AFRICA/README.md', 'readme'), ('AMERICA', 'AMERICA/README.md', 'note'), ('ASIA', 'ASIA/doc/README.md', 'readme')) as t(repo, path, kind)",
+    # definitions of several repos that extend each other
+    "kb_xdefs": "select * from (values ('ASIA', 'trade', 'a'), ('ASIA', 'port', 'b'), ('EUROPE', 'trade', 'a'), ('EUROPE', 'deal', 'c'), ('AFRICA', 'deal', 'c'), ('AFRICA', 'base', 'd'), ('AMERICA', 'base', 'e')) as t(repo, name, body)",
+    "kb_xparents": "select * from (values ('ASIA', 'trade', 'EUROPE', 'deal'), ('ASIA', 'port', 'AFRICA', 'deal'), ('EUROPE', 'deal', 'AFRICA', 'base'), ('AFRICA', 'deal', 'ASIA', 'port'), ('AMERICA', 'base', 'AFRICA', 'base')) as t(crepo, child, prepo, parent)",
+    # bodies: contracts on sections, templates that use each other, and what the lines of orders contribute
+    "kb_contracts": "select * from (values ('order', 'Outcome', 'items', false), ('order', 'Outcome', 'customer', false), ('order', 'Log', 'status', true), ('order', 'Log / Deep', 'items', false), ('rush_order', 'Outcome / Result', 'customer', true), ('rush_order', 'Log', 'ghost', false)) as t(type, scope, field, exclusive)",
+    "kb_contributions": "select f.path, case when l.l_linenumber % 4 = 1 then 'customer' when l.l_linenumber % 4 = 2 then 'items' when l.l_linenumber % 4 = 3 then 'status' else 'note' end as field, case when l.l_linenumber = 1 then 'frontmatter' when l.l_linenumber % 2 = 0 then 'wikilink' else 'fence' end as surface, case when l.l_quantity > 25 then 'Outcome / Result' when l.l_quantity > 10 then 'Outcome' else 'Log' end as section from {lineitem} l join {kb_order_files} f on l.l_orderkey = f.k",
+    "kb_sections": "select distinct path, section from {kb_contributions} union select path, 'Outcome' from {kb_contributions} where section = 'Outcome / Result'",
+    "kb_bodies": "select * from (values ('document', 1, 'Summary', null), ('order', 1, 'Head', null), ('order', 2, null, 'document'), ('order', 3, 'Tail', null), ('rush_order', 1, null, 'order'), ('rush_order', 2, 'Haste', null), ('rush_order', 3, null, 'audited'), ('ring_a', 1, 'A', null), ('ring_a', 2, null, 'ring_b'), ('ring_b', 1, null, 'ring_a'), ('ring_b', 2, 'B', null), ('part', 1, null, 'order')) as t(type, pos, section, use)",
+    "kb_lists": "select path, 'dates' as field, concat_ws(',', cast(cast(o_orderdate as date) as string), o_orderpriority, o_orderstatus) as text from {orders} join {kb_order_files} on k = o_orderkey",
+    # where files of a type belong
+    "kb_locations": "select * from (values ('order', '*/order', 'order-%key%', 'md', false), ('audited', '**/audit', '', '', false), ('part', '*/part/*', 'part-%key%', 'md', true), ('nation', '**', '', 'yaml', false), ('customer', 'EUROPE/**', '', '', false), ('supplier', 'ASIA/*', 'supplier-%key%', '', true)) as t(type, dir, name, ext, strict)",
+    # values that are in no file, each for a type; and types that are offered to events next to what they claim
+    "kb_asked": "select 'q' || cast(event_id as string) as path, case when event_id % 4 = 0 then 'part' when event_id % 4 = 1 then 'order' when event_id % 4 = 2 then 'region' when event_id % 8 = 3 then 'party' else 'nothing' end as kind from {events}",
+    "kb_asked_values": "select 'q' || cast(event_id as string) as path, 'key' as field, cast(event_id as double) as num, cast(null as string) as txt from {events} union all select 'q' || cast(event_id as string), 'size', cast(event_id % 60 as double), cast(null as string) from {events} union all select 'q' || cast(event_id as string), 'status', cast(null as double), case when event_id % 3 = 0 then 'F' else 'X' end from {events} where event_id % 5 <> 0",
+    "kb_offers": "select event_id, case when event_id % 2 = 0 then 'vip' when event_id % 3 = 0 then 'premium' else 'part' end as type, case when event_id % 5 = 0 then 'supplier' when event_id % 5 = 1 then 'vip' else 'nation' end as claim from {events}",
     # rendered notes: a heading, a body with a link and a fence, from conversations
     "kb_notes": "select 'notes/' || cast(conv_id as string) || '-' || cast(turn as string) || '.md' as path, '# ' || role || chr(10) || 'See [[note ' || cast(conv_id % 10 as string) || case when turn % 2 = 0 then '#top' else '' end || case when turn % 3 = 0 then '^b1' else '' end || ']]' || case when turn % 5 = 0 then ' and [[a b::lib@c0ffee#Top^^b2:f]]' when turn % 5 = 1 then ' not [[]] nor [[#x]]' else '' end || chr(10) || '## turn ' || cast(turn as string) || chr(10) || text || case when conv_id % 7 = 0 then chr(10) || '```yaml' || chr(10) || 'open: 1' when conv_id % 7 = 1 then chr(10) || '```' || chr(10) || 'x' || chr(10) || '```' else '' end as body from {conversations} where text is not null",
 }
