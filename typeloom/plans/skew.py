@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 #: than FLOOR rows (LIGHT_FLOOR where rows hold a few numbers) is no burden to a task.
 SHARE, FLOOR, LIGHT_FLOOR, SALTS = 4096, 256, 100_000, 64
 
+#: Bytes, as Spark guesses them from the files read, that a task of slow work for each row gets at least.
+DEALT = 16 << 10
+
+
+def guessed_bytes(df: DataFrame) -> int:
+    """Spark's guess of the table's size: that of the files read, changed by the columns that come and go."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has, for slow work on each row: a small file of many rows is one task otherwise."""
+    spark = df.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(max(1, min(most, guessed_bytes(df) // DEALT)))
+
 
 def hot_keys(counts: DataFrame, keys: list[str], floor: int | None = None) -> list[tuple]:
     """The hot keys of a table of row counts (keys, n): fewer than ``SHARE`` of them, whatever the table's size."""

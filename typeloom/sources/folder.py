@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeloom.plans.skew import dealt
 from typeloom.sources.markdown import READ_CAP, parse_file
 
 PARSED = (
@@ -59,7 +60,7 @@ def parse(files: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame([parse_file(p, bytes(c)) if c is not None else {"path": p, "kind": "unparsed", "claim": [], "fields": "{}", "errors": ["over-read-cap"], "events": [], "records": []} for p, c in zip(frame["path"], frame["content"])])
 
-    return files.select("path", "content").mapInPandas(task, PARSED)
+    return dealt(files.select("path", "content")).mapInPandas(task, PARSED)
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
