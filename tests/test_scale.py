@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from typeloom.operators import components, graph
+from typeloom.plans import skew
 from typeloom.sources import folder
 
 
@@ -10,3 +12,38 @@ def test_parse_of_one_file_of_many_rows_is_dealt(spark, tmp_path):
     parsed = folder.parse_texts(spark.read.parquet(str(tmp_path / "t")))
     tasks = parsed.select(F.spark_partition_id().alias("t"), "path").groupBy("t").agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in tasks) == 3000 and len(tasks) > 1 and max(r.n for r in tasks) < 2000
+
+
+def _base(spark):
+    files = spark.createDataFrame([("r", f"r/n{k}.md", f"n{k}", "part", k) for k in range(12)], "repo string, path string, stem string, kind string, k long")
+    pairs = [(0, 1), (1, 2), (5, 4), (4, 3), (7, 8), (2, 9), (10, 10)]
+    links = spark.createDataFrame([(f"r/n{a}.md", "r", f"n{b}", None, "body", a, None) for a, b in pairs] + [("x/note.md", "x", "n8", None, "body", 0, None), ("x/note.md", "x", "n11", None, "body", 1, None), (None, "r", "n6", None, "body", 0, None), (None, "r", "n0", None, "body", 0, None)], "src string, repo string, target string, slot string, surface string, pos long, pin string")
+    want = {0: 0, 1: 0, 2: 0, 9: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 11, 8: 11, 10: 10, 11: 11}
+    return files, links, {f"r/n{k}.md": f"r/n{v}.md" for k, v in want.items()}
+
+
+def test_components_join_numbers_not_paths(spark, monkeypatch):
+    seen, files_links_want = [], _base(spark)
+    for module in (components, graph):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: seen.append((name, df.dtypes)) or f(df, name))
+    files, links, want = files_links_want
+    assert {r.path: r.component for r in graph.weak_components(links, files).collect()} == want
+    edges = [types for name, types in seen if name == "edges"]
+    assert edges and all(kind == "bigint" for types in edges for _, kind in types)
+
+
+def test_numbers_that_collide_are_drawn_again(spark, monkeypatch):
+    weak = lambda node, seed=0: F.pmod(F.xxhash64(F.lit(seed), node), F.lit(4 if seed < 2 else 1 << 62))
+    for module in (components, graph):
+        monkeypatch.setattr(module, "node_id", weak)
+    files, links, want = _base(spark)
+    assert components.seed_without_collision(files.select(F.col("path").alias("node"))) == 2
+    assert {r.path: r.component for r in graph.weak_components(links, files).collect()} == want
+
+
+def test_contraction_deals_hubs_and_follows_chains(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LIGHT_FLOOR", 10)
+    hub = spark.range(1, 200).select(F.lit(500).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(1000, 1300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out = components.contracted(hub.unionByName(chain)).groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()
+    assert sorted((r.n, r.a, r.b) for r in out) == [(200, 1, 500), (301, 1000, 1300)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.operators.components import connected_components
+from typeloom.operators.components import contracted, named, node_id, seed_without_collision
 from typeloom.plans.shared import drop_written, written
 
 
@@ -79,10 +79,23 @@ def link_graph(links: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("path", "kind").join(sums, "path", "left").select("path", "kind", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
+def _numbered(links: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes (node, is_file), edges (a, b) of their numbers, and the seed of the numbers: no two nodes have the same one."""
+    sources = links.where("src is not null").select(F.col("src").alias("node"), F.lit(False).alias("is_file"))
+    ends = files.select(F.col("path").alias("node"), F.lit(True).alias("is_file")).unionByName(sources)
+    nodes = written(ends.groupBy("node").agg(F.max("is_file").alias("is_file")), "nodes")
+    seed = seed_without_collision(nodes)
+    # the join on targets carries a number for each link, not its source's path
+    own = resolve_links(links.where("pin is null and src is not null").select(node_id("src", seed).alias("a"), "target", "pin"), files)
+    return nodes, written(own.where("outcome = 'resolved'").select("a", node_id("dst", seed).alias("b")), "edges"), seed
+
+
 def weak_components(links: DataFrame, files: DataFrame) -> DataFrame:
     """(path, component) for every file; a component is named by its least path, a file without edges is one."""
-    parts = connected_components(edges(links, files).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return files.select("path").distinct().join(parts.withColumnRenamed("node", "path"), "path", "left").select("path", F.coalesce("component", "path").alias("component"))
+    nodes, own, seed = _numbered(links, files)
+    roots = contracted(own)
+    drop_written(own)
+    return named(nodes, roots, seed).where("is_file").select(F.col("node").alias("path"), "component")
 
 
 def graph_shape(links: DataFrame, files: DataFrame) -> DataFrame:
