@@ -47,3 +47,12 @@ def test_contraction_deals_hubs_and_follows_chains(spark, monkeypatch):
     chain = spark.range(1000, 1300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = components.contracted(hub.unionByName(chain)).groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()
     assert sorted((r.n, r.a, r.b) for r in out) == [(200, 1, 500), (301, 1000, 1300)]
+
+
+def test_graph_shape_resolves_links_once(spark, monkeypatch):
+    calls, (files, links, _) = [], _base(spark)
+    monkeypatch.setattr(graph, "resolve_links", lambda *a, f=graph.resolve_links: calls.append(a) or f(*a))
+    links = links.where("src like 'r/%'")
+    got = graph.graph_shape(links, files).first().asDict()
+    assert got == {"nodes": 12, "edges": 7, "isolated": 2, "no_inbound": 5, "components": 6, "largest": 4}
+    assert len(calls) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeloom.operators.components import contracted, named, node_id, seed_without_collision
+from typeloom.operators.components import contracted, named, node_id, rooted, seed_without_collision
 from typeloom.plans.shared import drop_written, written
 
 
@@ -100,8 +100,11 @@ def weak_components(links: DataFrame, files: DataFrame) -> DataFrame:
 
 def graph_shape(links: DataFrame, files: DataFrame) -> DataFrame:
     """One row: nodes, edges, isolated, no_inbound, components, largest."""
-    graph = written(link_graph(links, files), "graph")
-    sizes = weak_components(links, files).groupBy("component").agg(F.count("*").alias("n"))
+    nodes, own, seed = _numbered(links, files)
+    ends = F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("b").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    sums = own.select(F.explode(ends).alias("e")).select("e.*").groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    graph = files.select(node_id("path", seed).alias("id")).join(sums, "id", "left").select(F.coalesce("o", F.lit(0)).alias("out_degree"), F.coalesce("i", F.lit(0)).alias("in_degree"))
+    sizes = rooted(nodes.where("is_file"), contracted(own), seed).groupBy("root").agg(F.count("*").alias("n"))
     left = graph.agg(F.count("*").alias("nodes"), F.sum("out_degree").alias("edges"), F.count_if((F.col("in_degree") == 0) & (F.col("out_degree") == 0)).alias("isolated"), F.count_if(F.col("in_degree") == 0).alias("no_inbound"))
     right = sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest"))
     names = [*left.columns, *right.columns]
