@@ -56,3 +56,12 @@ def test_graph_shape_resolves_links_once(spark, monkeypatch):
     got = graph.graph_shape(links, files).first().asDict()
     assert got == {"nodes": 12, "edges": 7, "isolated": 2, "no_inbound": 5, "components": 6, "largest": 4}
     assert len(calls) == 1
+
+
+def test_inbound_counts_join_no_link(spark, monkeypatch):
+    files, links, _ = _base(spark)
+    links = links.unionByName(links.where("target = 'n8'").withColumn("pin", F.lit("c0ffee"))).unionByName(links.where("target = 'n8'").withColumn("slot", F.lit("s")))
+    want = sorted(graph.edges(links, files).groupBy("dst").agg(F.count_if(F.col("slot").isNotNull()).alias("s"), F.count("*").alias("t")).collect())
+    monkeypatch.setattr(graph, "resolve_links", None)
+    assert sorted(graph.hubs(links, files).collect()) == want
+    assert {r.dst: (r.field, r.contributing, r.navigational) for r in graph.references_in(links, files).collect()}["r/n8.md"] == (0, 2, 2)

@@ -23,21 +23,25 @@ def escapes(target: Column) -> Column:
     return target.startswith("/") | (target.contains("/") & (low < 0))
 
 
-def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
-    """``links`` with ``dst`` and ``outcome``: resolved, ambiguous, missing, escaping or pinned.
-
-    The best rank with any hit decides; an ambiguity there doesn't fall through. Distinct targets are
-    resolved once, then joined back, so a target that a third of all links name is one row until then.
-    """
-    targets = links.where("pin is null").select("target").distinct()
+def resolve_targets(targets: DataFrame, files: DataFrame) -> DataFrame:
+    """(target, dst, outcome) of distinct ``targets`` (target); the best rank with any hit decides, an ambiguity there doesn't fall through."""
     targets = targets.withColumn("out", escapes(F.col("target"))).withColumn("key", F.when(F.col("target").contains("/"), F.col("target")).otherwise(F.lower("target")))
     hits = targets.where("not out").join(file_keys(files), "key").where("rank > 0 or contains(target, '/')").groupBy("target", "rank").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
     best = hits.groupBy("target").agg(F.min(F.struct("rank", "n", "path")).alias("b"))
-    known = targets.join(best, "target", "left").select(
+    return targets.join(best, "target", "left").select(
         "target",
         F.when(F.col("b.n") == 1, F.col("b.path")).alias("dst"),
         F.when(F.col("out"), "escaping").when(F.col("b").isNull(), "missing").when(F.col("b.n") == 1, "resolved").otherwise("ambiguous").alias("outcome"),
     )
+
+
+def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
+    """``links`` with ``dst`` and ``outcome``: resolved, ambiguous, missing, escaping or pinned.
+
+    Distinct targets are resolved once, then joined back, so a target that a third of all links name is
+    one row until then.
+    """
+    known = resolve_targets(links.where("pin is null").select("target").distinct(), files)
     joined = links.join(known, "target", "left")
     return joined.withColumn("outcome", F.when(F.col("pin").isNotNull(), "pinned").otherwise(F.col("outcome"))).withColumn("dst", F.when(F.col("pin").isNull(), F.col("dst")))
 
@@ -58,14 +62,22 @@ def references_out(links: DataFrame, files: DataFrame) -> DataFrame:
     return resolve_links(links, files).select("src", "target", "dst", kind.alias("kind"))
 
 
+def _inbound(links: DataFrame, files: DataFrame, **counts: Column) -> DataFrame:
+    """(dst, counts) over the resolved links of each file; links are counted by target before that is resolved, so none of them is joined."""
+    free = links.where("pin is null")
+    per = free.groupBy("target").agg(*[c.alias(name) for name, c in counts.items()])
+    known = resolve_targets(free.select("target").distinct(), files).where("outcome = 'resolved'").select("target", "dst")
+    return per.join(known, "target").groupBy("dst").agg(*[F.sum(name).alias(name) for name in counts])
+
+
 def references_in(links: DataFrame, files: DataFrame) -> DataFrame:
     """Inbound counts by kind for each file that has any."""
-    return edges(links, files).groupBy("dst").agg(*[F.count_if(edge_kind() == k).alias(k) for k in ("field", "contributing", "navigational")])
+    return _inbound(links, files, **{k: F.count_if(edge_kind() == k) for k in ("field", "contributing", "navigational")})
 
 
 def hubs(links: DataFrame, files: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Most-referenced files: structural then total inbound edges, falling; ``place`` is the rank, ties by path."""
-    count = edges(links, files).groupBy(F.col("dst").alias("path")).agg(F.count_if(F.col("slot").isNotNull()).alias("structural"), F.count("*").alias("total"))
+    count = _inbound(links, files, structural=F.count_if(F.col("slot").isNotNull()), total=F.count("*")).withColumnRenamed("dst", "path")
     if limit is None:
         return count
     return count.orderBy(F.desc("structural"), F.desc("total"), "path").offset(offset).limit(limit)
