@@ -65,3 +65,16 @@ def test_inbound_counts_join_no_link(spark, monkeypatch):
     monkeypatch.setattr(graph, "resolve_links", None)
     assert sorted(graph.hubs(links, files).collect()) == want
     assert {r.dst: (r.field, r.contributing, r.navigational) for r in graph.references_in(links, files).collect()}["r/n8.md"] == (0, 2, 2)
+
+
+def test_neighborhood_reads_its_edges_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        rows.add(1)
+        return x
+
+    own = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(9)], "src string, dst string").coalesce(1).withColumn("dst", F.udf(count)("dst"))
+    found = graph.neighborhood(own, spark.createDataFrame([("n4",)], "path string"), 3)
+    assert {r.path: r.depth for r in found.collect()} == {f"n{k}": abs(k - 4) for k in range(1, 8)}
+    assert rows.value == 9

@@ -135,9 +135,10 @@ def neighborhood(own: DataFrame, seeds: DataFrame, depth: int, direction: str =
 
     ``budget`` bounds the visited nodes: within the level that exceeds it, paths in order stay.
     """
+    own = written(own.select("src", "dst"), "steps")  # every level reads it, both ways
     out = own.select(F.col("src").alias("near"), F.col("dst").alias("far"))
     back = own.select(F.col("dst").alias("near"), F.col("src").alias("far"))
-    step = {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    step = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
     seen = written(seeds.select("path").distinct().withColumn("depth", F.lit(0)), "seen")
     for level in range(1, depth + 1):
         front = seen.where(F.col("depth") == level - 1).select(F.col("path").alias("near"))
@@ -147,6 +148,7 @@ def neighborhood(own: DataFrame, seeds: DataFrame, depth: int, direction: str =
         after = written(seen.unionByName(found), "seen")
         drop_written(seen)
         seen = after
+    drop_written(own)
     return seen
 
 
