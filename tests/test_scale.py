@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from typeloom.operators import components, graph
+from typeloom.operators import components, graph, validate
 from typeloom.plans import skew
 from typeloom.sources import folder
 
@@ -78,3 +78,9 @@ def test_neighborhood_reads_its_edges_once(spark):
     found = graph.neighborhood(own, spark.createDataFrame([("n4",)], "path string"), 3)
     assert {r.path: r.depth for r in found.collect()} == {f"n{k}": abs(k - 4) for k in range(1, 8)}
     assert rows.value == 9
+
+
+def test_links_without_a_diagnostic_are_not_kept(spark):
+    rows = [("a", None, "b", "resolved"), ("a", "s", "b", "resolved"), ("a", None, None, "missing"), ("a", "s", None, "escaping"), ("a", None, None, "ambiguous"), ("a", None, None, "pinned")]
+    kept = validate.faulty(spark.createDataFrame(rows, "src string, slot string, dst string, outcome string"))
+    assert sorted((r.slot or "", r.outcome) for r in kept.collect()) == [("", "ambiguous"), ("", "missing"), ("s", "escaping"), ("s", "resolved")]

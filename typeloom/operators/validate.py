@@ -85,8 +85,16 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def diagnostics(kb: dict[str, DataFrame], up: DataFrame, effective: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """All diagnostics of a knowledge base; ``resolved`` are its links, if they have been resolved before."""
+def faulty(resolved: DataFrame) -> DataFrame:
+    """(src, slot, dst, outcome) of resolved links without those that :func:`dangling` and :func:`target_type_mismatch` pass over."""
+    return resolved.where("outcome in ('missing', 'ambiguous', 'escaping') or outcome = 'resolved' and slot is not null").select("src", "slot", "dst", "outcome")
+
+
+def diagnostics(kb: dict[str, DataFrame], up: DataFrame, effective: DataFrame, resolved: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """All diagnostics of a knowledge base; ``resolved`` are its links, if they have been resolved before.
+
+    If ``kb`` holds some files only, with what is theirs, ``targets`` are all files: those that links may point to.
+    """
     files, values, links, fields, inline = (kb[f"kb_{x}"] for x in ("files", "values", "links", "fields", "inline"))
     return union_all(
         [
@@ -96,8 +104,8 @@ def diagnostics(kb: dict[str, DataFrame], up: DataFrame, effective: DataFrame, r
             nested_out_of_refinement(inline, fields),
             cardinality(files, inline, 1, 5, ("order", "rush_order")),
             duplicate_block_ids(inline),
-            dangling(links, files, resolved),
-            target_type_mismatch(links, files, up, kb["kb_refs"], resolved),
+            dangling(links, targets or files, resolved),
+            target_type_mismatch(links, targets or files, up, kb["kb_refs"], resolved),
         ]
     )
 

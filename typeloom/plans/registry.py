@@ -414,7 +414,7 @@ _KB = ("kb_types", "kb_parents", "kb_fields", "kb_files", "kb_values", "kb_links
 def _diagnostics(*tables):
     kb = dict(zip(_KB, tables))
     up = _up(kb["kb_types"], kb["kb_parents"])
-    return V.diagnostics(kb, up, T.effective_fields(up, kb["kb_fields"]), written(G.resolve_links(kb["kb_links"], kb["kb_files"]), "resolved"))
+    return V.diagnostics(kb, up, T.effective_fields(up, kb["kb_fields"]), written(V.faulty(G.resolve_links(kb["kb_links"], kb["kb_files"])), "resolved"))
 
 
 @_query(f"{_WITH} {_ALL}", *_KB)
