@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from typeloom.operators import components, graph, validate
-from typeloom.plans import skew
+from typeloom.plans import registry, skew
 from typeloom.sources import folder
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_parse_of_one_file_of_many_rows_is_dealt(spark, tmp_path):
     spark.range(3000).select(F.format_string("c/n%d.md", "id").alias("path"), F.format_string("---\ntype: note\nkey: %d\n---\nSee [[x%d]]", "id", "id").alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
@@ -84,3 +86,12 @@ def test_links_without_a_diagnostic_are_not_kept(spark):
     rows = [("a", None, "b", "resolved"), ("a", "s", "b", "resolved"), ("a", None, None, "missing"), ("a", "s", None, "escaping"), ("a", None, None, "ambiguous"), ("a", None, None, "pinned")]
     kept = validate.faulty(spark.createDataFrame(rows, "src string, slot string, dst string, outcome string"))
     assert sorted((r.slot or "", r.outcome) for r in kept.collect()) == [("", "ambiguous"), ("", "missing"), ("s", "escaping"), ("s", "resolved")]
+
+
+def test_diagnostics_of_a_folder_resolve_its_links_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "resolve_links", lambda links, files, f=graph.resolve_links: seen.append(links) or f(links, files))
+    every = registry.queries()["diagnostics"](spark, SF).where("path like 'ASIA/order/%'")
+    some = registry.queries()["diagnostics_under"](spark, SF)
+    assert sorted(map(tuple, every.fillna("").collect())) == sorted(map(tuple, some.fillna("").collect()))
+    assert 0 < seen[1].count() == seen[1].where("src like 'ASIA/order/%'").count() < seen[0].count()

@@ -411,10 +411,15 @@ def target_type_mismatch(types, parents, fields, links, files, refs):
 _KB = ("kb_types", "kb_parents", "kb_fields", "kb_files", "kb_values", "kb_links", "kb_inline", "kb_refs")
 
 
-def _diagnostics(*tables):
+def _diagnostics(*tables, mine=None):
+    """All diagnostics, or those of the files that ``mine`` keeps of a table with a path: each comes from its file's own rows and the files its links name."""
     kb = dict(zip(_KB, tables))
-    up = _up(kb["kb_types"], kb["kb_parents"])
-    return V.diagnostics(kb, up, T.effective_fields(up, kb["kb_fields"]), written(V.faulty(G.resolve_links(kb["kb_links"], kb["kb_files"])), "resolved"))
+    files, up = kb["kb_files"], _up(kb["kb_types"], kb["kb_parents"])
+    if mine:
+        kb |= {t: mine(kb[t]) for t in ("kb_files", "kb_values", "kb_inline")}
+        kb["kb_links"] = mine(kb["kb_links"].withColumnRenamed("src", "path")).withColumnRenamed("path", "src")
+    resolved = written(V.faulty(G.resolve_links(kb["kb_links"], files)), "resolved")
+    return V.diagnostics(kb, up, T.effective_fields(up, kb["kb_fields"]), resolved, files)
 
 
 @_query(f"{_WITH} {_ALL}", *_KB)
@@ -429,7 +434,7 @@ def diagnostic_counts(*tables):
 
 @_query(f"{_WITH}, d as ({_ALL}) select path, code, severity, field from d where starts_with(path, 'ASIA/order/')", *_KB)
 def diagnostics_under(*tables):
-    return V.under(_diagnostics(*tables), "ASIA/order")
+    return _diagnostics(*tables, mine=lambda df: V.under(df, "ASIA/order"))
 
 
 @_query(f"{_WITH}, d as ({_ALL}) select path, code, severity, field from d order by path, code, field nulls first limit 50 offset 100", *_KB)

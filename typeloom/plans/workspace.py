@@ -185,7 +185,7 @@ def instance(*tables):
     kb = dict(zip(_KB, tables))
     one = kb["kb_files"].where("kind = 'vip'").agg(F.min("path").alias("path"))
     mine = lambda df: df.join(F.broadcast(one), "path", "left_semi")  # noqa: E731 - one row
-    codes = V.union_all([mine(_diagnostics(*tables))]).select("path", F.concat("code", F.coalesce(F.concat(F.lit(":"), "field"), F.lit(""))).alias("c"))
+    codes = _diagnostics(*tables, mine=mine).select("path", F.concat("code", F.coalesce(F.concat(F.lit(":"), "field"), F.lit(""))).alias("c"))
     found = codes.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("found"))
     n = mine(kb["kb_values"]).groupBy("path").agg(F.count("*").alias("n_values"))
     own = mine(kb["kb_files"]).select("path", "kind").join(n, "path", "left").join(found, "path", "left")
