@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from typeloom.operators import components, graph, validate
-from typeloom.plans import registry, skew
+from typeloom.plans import registry, ship, skew
 from typeloom.sources import folder
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,15 @@ def test_diagnostics_of_a_folder_resolve_its_links_only(spark, monkeypatch):
     some = registry.queries()["diagnostics_under"](spark, SF)
     assert sorted(map(tuple, every.fillna("").collect())) == sorted(map(tuple, some.fillna("").collect()))
     assert 0 < seen[1].count() == seen[1].where("src like 'ASIA/order/%'").count() < seen[0].count()
+
+
+def test_splits_are_bounded_unless_the_application_sets_them(spark):
+    for key, size in ship.SPLITS.items():
+        was = spark.conf.get(key)
+        spark.conf.unset(key)
+        ship.ship(spark)
+        assert int(spark.conf.get(key)) == size
+        spark.conf.set(key, "33m")
+        ship.ship(spark)
+        assert spark.conf.get(key) == "33m"
+        spark.conf.set(key, was)
