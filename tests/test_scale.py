@@ -107,3 +107,10 @@ def test_splits_are_bounded_unless_the_application_sets_them(spark):
         ship.ship(spark)
         assert spark.conf.get(key) == "33m"
         spark.conf.set(key, was)
+
+
+def test_candidates_deal_records_before_they_are_made_distinct(spark):
+    plan = registry.queries()["candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [event_id" in plan
+    records = spark.range(1000).select(F.col("id").alias("event_id"))
+    assert skew.dealt_by(records, "event_id", 100).rdd.getNumPartitions() > 50

@@ -48,3 +48,8 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: list[tup
     each = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     right = small.join(marks, keys, "left").withColumn("__salt", each).drop("__hot")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def dealt_by(df: DataFrame, key: str, share: int = 1 << 20) -> DataFrame:
+    """``df`` by ``key`` over tasks of ``share`` guessed bytes: a number that Spark doesn't lessen when the shuffled rows compress well."""
+    return df.repartition(1 + guessed_bytes(df) // share, key)
